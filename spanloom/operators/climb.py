@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 from spanloom.runtime import settle
 
 MAX_ROUNDS = 40
+MAX_DEPTH = 10_000
 
 
 def nearest_stop(
@@ -74,26 +76,34 @@ def nearest_stop(
     return finished[0].select(*scope, F.col("n").alias(node), F.col("to").alias(out), "found")
 
 
-def ancestors(links: DataFrame, node: str, parent: str, seeds: DataFrame) -> DataFrame:
-    """Every proper ancestor of each seed as ``(seed, node, depth)``; depth 1 is the parent."""
-    up = links.filter(F.col(parent).isNotNull() & (F.col(parent) != F.col(node))).select(
-        F.col(node).alias("here"), F.col(parent).alias("next")
-    )
-    reached = []
-    front = settle(seeds.select(F.col(node).alias("seed"), F.col(node).alias("here")))
-    for depth in range(1, 10_000):
+def ancestors(
+    links: DataFrame, node: str, parent: str, seeds: DataFrame, mark: Column | None = None
+) -> DataFrame:
+    """Every proper ancestor of each seed as ``(seed, node, depth, trail)``; depth 1 is the parent.
+
+    ``trail`` lists ``mark`` of the nodes from just below the ancestor down to the seed. One join
+    per level of depth.
+    """
+    mark = F.col(node) if mark is None else mark
+    up = links.select(F.col(node).alias("here"), F.col(parent).alias("next"), mark.alias("m"))
+    known = links.select(F.col(node).alias("next"))
+    steps = up.filter("next is not null and next <> here").join(known, "next")
+    front = seeds.select(F.col(node).alias("seed"), F.col(node).alias("here"))
+    front = front.withColumn("trail", F.array().cast(f"array<{up.schema['m'].dataType.simpleString()}>"))
+    parts = []
+    for depth in range(1, MAX_DEPTH):
         front = settle(
-            front.join(up, "here").select("seed", F.col("next").alias("here"))
+            front.join(steps, "here").select(
+                "seed", F.col("next").alias("here"), F.concat(F.array("m"), "trail").alias("trail")
+            )
         )
-        if front.isEmpty():
+        part = front.select("seed", F.col("here").alias(node), F.lit(depth).alias("depth"), "trail")
+        if parts and front.isEmpty():
             break
-        reached.append(front.select("seed", F.col("here").alias(node), F.lit(depth).alias("depth")))
-    if not reached:
-        return front.select("seed", F.col("here").alias(node), F.lit(0).alias("depth"))
-    found = reached[0]
-    for more in reached[1:]:
-        found = found.unionByName(more)
-    return found
+        parts.append(part)
+    else:
+        raise ValueError("parent chain has a cycle")
+    return reduce(DataFrame.unionByName, parts)
 
 
 def reach(edges: DataFrame, seeds: DataFrame, hops: int = 4) -> DataFrame:
@@ -124,12 +134,8 @@ def reach(edges: DataFrame, seeds: DataFrame, hops: int = 4) -> DataFrame:
                 .distinct()
             )
             layers.append(layer)
-        step = layers[0]
-        for more in layers[1:]:
-            step = step.unionByName(more)
-        front = settle(step.distinct().join(visited, ["seed", "node"], "left_anti"))
+        step = reduce(DataFrame.unionByName, layers).distinct()
+        front = settle(step.join(visited, ["seed", "node"], "left_anti"))
         parts.append(front)
-        visited = parts[0]
-        for part in parts[1:]:
-            visited = visited.unionByName(part)
+        visited = reduce(DataFrame.unionByName, parts)
     return visited

@@ -26,9 +26,8 @@ def _time_place() -> Column:
     return F.struct("at", *PLACE)
 
 
-def session_entries(lines: DataFrame, merge_files: bool = False) -> DataFrame:
-    """Entries of the file(s) each session is read from, stored once for all later steps."""
-    parsed = settle(chatlog.entries(lines))
+def session_entries(parsed: DataFrame, merge_files: bool = False) -> DataFrame:
+    """Entries of the file(s) each session is read from."""
     chosen = chatlog.session_files(chatlog.file_sessions(parsed), merge_files)
     return parsed.drop(SESSION).join(chosen, "path").filter("uuid is not null")
 
@@ -198,9 +197,9 @@ def answers(entries: DataFrame, groups: DataFrame, calls: DataFrame, results: Da
     )
 
 
-def chat_nodes(lines: DataFrame, merge_files: bool = False) -> DataFrame:
-    """Canonical nodes of native session logs."""
-    entries = settle(session_entries(lines, merge_files))
+def chat_nodes(parsed: DataFrame, merge_files: bool = False) -> DataFrame:
+    """Canonical nodes of native session logs, from stored parsed entries."""
+    entries = settle(session_entries(parsed, merge_files))
     cold = not has_hot_group(entries, [SESSION])
     turns = settle(interactions(entries, cold))
     items = entries.filter(
