@@ -19,6 +19,10 @@ def _repair(bodies: Column) -> Column:
         import json
         import re
 
+        blanks = (
+            " \t\n\x0b\f\r\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009"
+            "\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
+        )
         token = re.compile(r'"(?:\\.|[^"\\])*(?P<shut>")?|\\.|[\[\]{}]', re.S)
         closing = {"[": "]", "{": "}"}
         missing = object()
@@ -40,7 +44,7 @@ def _repair(bodies: Column) -> Column:
                     stack.append(t)
                 elif stack and closing[stack[-1]] == t:
                     stack.pop()
-            tail = raw.rstrip()
+            tail = raw.rstrip(blanks)
             tail = tail[:-1] if tail.endswith(",") else tail
             return tail + ('"' if in_string else "") + "".join(
                 closing[b] for b in reversed(stack)
@@ -58,7 +62,7 @@ def _repair(bodies: Column) -> Column:
         def decode(raw):
             if raw is None:
                 return None
-            body = raw.lstrip().split(cut_mark, 1)[0].rstrip()
+            body = raw.lstrip(blanks).split(cut_mark, 1)[0].rstrip(blanks)
             for candidate in (body, f'"{body}"', close(body)):
                 value = load(candidate)
                 if value is not missing:

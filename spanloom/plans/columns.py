@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -48,15 +50,18 @@ SORT_RANK = (
 )
 
 
-def canonical(df: DataFrame, **given: Column) -> DataFrame:
-    """Project to the canonical columns; those neither given nor present become null."""
+def canonical(df: DataFrame, extra: Sequence[str] = (), **given: Column) -> DataFrame:
+    """Project to the canonical columns; those neither given nor present become null.
+
+    Columns of ``df`` named in ``extra`` are kept too.
+    """
     cols = []
     for name, dtype in CANONICAL.items():
         col = given.get(name)
         if col is None:
             col = F.col(name) if name in df.columns else F.lit(None)
         cols.append(col.cast(dtype).alias(name))
-    return df.select(*cols)
+    return df.select(*cols, *extra)
 
 
 def session_key(harness_session: Column) -> Column:

@@ -299,16 +299,20 @@ def interaction_metrics(nodes: DataFrame, semantics: DataFrame) -> DataFrame:
     )
 
 
-def views(tables: dict[str, DataFrame]) -> dict[str, DataFrame]:
-    """The views over stored tables, computed when read."""
-    nodes = tables["nodes"]
+def typed_views(nodes: DataFrame) -> dict[str, DataFrame]:
+    """The columns of one node type each."""
     typed = {"llm_requests": "llm_request", "tools": "tool", "interactions": "interaction"}
-    made = {
+    return {
         name: nodes.filter(F.col("type") == kind).select(*TABLES[name].column_names)
         for name, kind in typed.items()
     }
-    made["interaction_metrics"] = interaction_metrics(nodes, tables["semantics"])
-    return made
+
+
+def views(tables: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    """The views over stored tables, computed when read."""
+    nodes = tables["nodes"]
+    metrics = interaction_metrics(nodes, tables["semantics"])
+    return {"interaction_metrics": metrics, **typed_views(nodes)}
 
 
 def stored_tables(graph: g.Graph) -> dict[str, DataFrame]:
