@@ -49,13 +49,20 @@ def _rounded(df: DataFrame, *names: str) -> DataFrame:
 # ---- Over events -----------------------------------------------------------------------------
 
 
-def _tables(spark: SparkSession, sf: str) -> dict[str, DataFrame]:
-    return ad.event_tables(spark, sf, ad.is_cold(spark, sf))
+def _nodes(spark: SparkSession, sf: str) -> tuple[DataFrame, bool]:
+    """Event nodes as a plan, for queries that read them once."""
+    cold = ad.is_cold(spark, sf)
+    return ad.event_nodes(spark, sf, cold), cold
 
 
 def _stored_nodes(spark: SparkSession, sf: str) -> tuple[DataFrame, bool]:
-    cold = ad.is_cold(spark, sf)
-    return settle(ad.event_nodes(spark, sf, cold)), cold
+    """Event nodes written once, for queries that read them several times."""
+    nodes, cold = _nodes(spark, sf)
+    return settle(nodes), cold
+
+
+def _tables(spark: SparkSession, sf: str) -> dict[str, DataFrame]:
+    return ad.event_tables(*_stored_nodes(spark, sf))
 
 
 def _members(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, bool]:
@@ -86,7 +93,9 @@ def _graph_tables(spark: SparkSession, sf: str) -> dict[str, DataFrame]:
 
 
 def session_rollup(spark, sf):
-    return _rounded(an.session_rollup(_tables(spark, sf)), "cost_usd", "tokens_in", "tokens_out")
+    nodes, _ = _nodes(spark, sf)
+    sums = ["cost_usd", "tokens_in", "tokens_out"]
+    return _rounded(an.session_rollup({"nodes": nodes}), *sums)
 
 
 def interaction_metrics(spark, sf):
@@ -105,13 +114,12 @@ def shape_counts(spark, sf):
 
 
 def load_summary(spark, sf):
-    return an.load_summary(_tables(spark, sf))
+    return an.load_summary({"nodes": _nodes(spark, sf)[0]})
 
 
 def typed_views(spark, sf):
     """The three typed views."""
-    cold = ad.is_cold(spark, sf)
-    nodes = tables.nodes_table(ad.event_nodes(spark, sf, cold), cold)
+    nodes = tables.nodes_table(*_stored_nodes(spark, sf))
     seen = tables.typed_views(nodes)
     parts = [
         seen[name].select(F.lit(name).alias("relation"), "id", "session_id", "seq", "duration_ms")
@@ -131,8 +139,8 @@ def interaction_windows(spark, sf):
 
 
 def node_seq(spark, sf):
-    cold = ad.is_cold(spark, sf)
-    return graph.with_seq(ad.event_nodes(spark, sf, cold), cold).select(
+    nodes, cold = _nodes(spark, sf)
+    return graph.with_seq(nodes, cold).select(
         "interaction_id", "id", "seq"
     )
 
@@ -179,8 +187,13 @@ def hook_pairs(spark, sf):
     )
 
 
+def _flat_spans(spark, sf) -> DataFrame:
+    """Spans of the trace documents, parsed once."""
+    return settle(otel_source.flat_spans(ad.trace_documents(spark, sf)))
+
+
 def _typed_spans(spark, sf) -> DataFrame:
-    spans = otel_source.flat_spans(ad.trace_documents(spark, sf))
+    spans = _flat_spans(spark, sf)
     routed = spans.join(otel_source.trace_sessions(spans).select("path", "harness_session"), "path")
     return otel.span_columns(routed)
 
@@ -207,7 +220,7 @@ def otel_rejects(spark, sf):
 
 
 def span_violations(spark, sf):
-    spans = otel_source.flat_spans(ad.trace_documents(spark, sf))
+    spans = _flat_spans(spark, sf)
     # All spans of a session count as one document here, so parents can be looked up in it.
     return otel_source.violations(spans.withColumn("path", F.col("dir"))).filter(
         "rule <> 'duplicate_span_id'"
@@ -323,20 +336,20 @@ def nearest_tool(spark, sf):
 
 
 def containment(spark, sf):
-    return graph.containment(ad.event_nodes(spark, sf, ad.is_cold(spark, sf)))
+    return graph.containment(_nodes(spark, sf)[0])
 
 
 def session_dimension(spark, sf):
-    return graph.sessions(ad.event_nodes(spark, sf, ad.is_cold(spark, sf))).drop("title")
+    return graph.sessions(_nodes(spark, sf)[0]).drop("title")
 
 
 def agent_dimension(spark, sf):
-    return graph.agents(ad.event_nodes(spark, sf, ad.is_cold(spark, sf)))
+    return graph.agents(_nodes(spark, sf)[0])
 
 
 def dedupe_nodes(spark, sf):
     """One row per id where every node also arrives in a later copy."""
-    nodes = ad.event_nodes(spark, sf, ad.is_cold(spark, sf)).drop("interaction_id")
+    nodes = _nodes(spark, sf)[0].drop("interaction_id")
     copies = nodes.withColumn("origin", F.concat(F.lit("zz"), "origin")).withColumn(
         "tokens_out", F.lit(-1.0)
     )
@@ -360,7 +373,7 @@ def tool_semantics(spark, sf):
 def inference_semantics(spark, sf):
     _, nodes, _, _, rows = _layers(spark, sf)
     seeds = semantics.inference_entries(nodes, rows)
-    return semantics.ground(semantics.label_entries(seeds), graph.sessions(nodes))
+    return semantics.ground(semantics.label_entries(seeds), graph.session_facts(nodes))
 
 
 def node_context(spark, sf):
@@ -383,15 +396,15 @@ def resolve_node(spark, sf):
 
 
 def redundant_calls(spark, sf):
-    return _rounded(an.redundant_calls(_tables(spark, sf)), "approx_wasted_ms")
+    return _rounded(an.redundant_calls({"nodes": _nodes(spark, sf)[0]}), "approx_wasted_ms")
 
 
 def redundant_call_members(spark, sf):
-    return an.redundant_call_members(_tables(spark, sf))
+    return an.redundant_call_members({"nodes": _stored_nodes(spark, sf)[0]})
 
 
 def longest_steps(spark, sf):
-    return an.longest_steps(_tables(spark, sf))
+    return an.longest_steps({"nodes": _nodes(spark, sf)[0]})
 
 
 def misleading_files(spark, sf):
@@ -411,28 +424,29 @@ def verify_loop_excluded(spark, sf):
 
 
 def recovery_window(spark, sf):
-    rows = an.recovery_windows(_tables(spark, sf), cold=ad.is_cold(spark, sf))
+    nodes, cold = _nodes(spark, sf)
+    rows = an.recovery_windows({"nodes": graph.with_seq(nodes, cold)}, cold=cold)
     return _rounded(rows, "tokens_between")
 
 
 def recovery_same_file(spark, sf):
-    rows = an.recovery_windows(_tables(spark, sf), same_file=True, cold=ad.is_cold(spark, sf))
+    nodes, cold = _stored_nodes(spark, sf)
+    rows = an.recovery_windows(ad.event_tables(nodes, cold), same_file=True, cold=cold)
     return _rounded(rows, "tokens_between")
 
 
 def preventable_cost(spark, sf):
-    ranked = an.preventable_cost(_tables(spark, sf), cold=ad.is_cold(spark, sf))
+    nodes, cold = _nodes(spark, sf)
+    ranked = an.preventable_cost({"nodes": graph.with_seq(nodes, cold)}, cold=cold)
     return _rounded(ranked, "recovery_tokens", "recovery_ms")
 
 
 def failure_facts(spark, sf):
-    return an.failure_facts(_tables(spark, sf))
+    return an.failure_facts({"nodes": _nodes(spark, sf)[0]})
 
 
 def json_escape_hatch(spark, sf):
-    nodes = tables.nodes_table(
-        ad.event_nodes(spark, sf, ad.is_cold(spark, sf)), ad.is_cold(spark, sf)
-    )
+    nodes = tables.nodes_table(*_nodes(spark, sf))
     return an.unpromoted_field({"nodes": nodes})
 
 
@@ -460,7 +474,7 @@ def chat_requests(spark, sf):
 
 
 def intent_counts(spark, sf):
-    talk = ad.read(spark, sf, "conversations").filter("role = 'user'")
+    talk = ad.read_spread(spark, sf, "conversations").filter("role = 'user'")
     nodes = intent.with_intent(talk, "text", "intent_category").withColumn(
         "type", F.lit("interaction")
     )
@@ -468,12 +482,12 @@ def intent_counts(spark, sf):
 
 
 def document_intents(spark, sf):
-    docs = ad.read(spark, sf, "documents")
+    docs = ad.read_spread(spark, sf, "documents")
     return intent.with_intent(docs, "text", "intent_category").select("doc_id", "intent_category")
 
 
 def document_error_kinds(spark, sf):
-    docs = outcome.with_error_kind(ad.read(spark, sf, "documents"), "text", "error_kind")
+    docs = outcome.with_error_kind(ad.read_spread(spark, sf, "documents"), "text", "error_kind")
     return outcome.with_error_message(docs, "text", "error_message").select(
         "doc_id", "error_kind", "error_message",
         text.utf16_length(F.col("text")).alias("output_size"),
@@ -482,7 +496,7 @@ def document_error_kinds(spark, sf):
 
 def decoded_bodies(spark, sf):
     """Request bodies wrapped around whole documents, some cut short, read back."""
-    docs = ad.read(spark, sf, "documents").select("doc_id", "text")
+    docs = ad.read_spread(spark, sf, "documents").select("doc_id", "text")
     body = F.to_json(
         F.struct(F.array(F.struct(F.lit("user").alias("role"), F.col("text").alias("content")))
                  .alias("messages"))

@@ -7,22 +7,20 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from spanloom.functions import text
+
 # Fixed value: what the exporter writes where it cut a body.
 CUT_MARK = "[TRUNCATED"
 
 
 def _repair(bodies: Column) -> Column:
     # Everything the function needs is inside it, so workers need not import this package.
-    cut_mark = CUT_MARK
+    cut_mark, blanks = CUT_MARK, text.BLANKS
 
     def repair(texts: pd.Series) -> pd.Series:
         import json
         import re
 
-        blanks = (
-            " \t\n\x0b\f\r\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009"
-            "\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
-        )
         token = re.compile(r'"(?:\\.|[^"\\])*(?P<shut>")?|\\.|[\[\]{}]', re.S)
         closing = {"[": "]", "{": "}"}
         missing = object()

@@ -42,14 +42,22 @@ INTENT_PATTERNS = [
 FALLBACK = "other"
 
 
+TRAILING_QUESTION = r"|\?\s*$"
+
+
 def with_intent(df: DataFrame, prompt: str, out: str) -> DataFrame:
     """Add one of the categories above for the text in column ``prompt``; never null."""
     clean = F.col("__prompt")
     chain = F.when(clean == "", FALLBACK)
     for category, pattern in INTENT_PATTERNS:
-        chain = chain.when(text.matches(clean, pattern, ignore_case=True), category)
+        # On trimmed text the last alternative of a pattern is a plain suffix test.
+        hit = clean.rlike("(?i)" + pattern.removesuffix(TRAILING_QUESTION))
+        if pattern.endswith(TRAILING_QUESTION):
+            hit = hit | clean.endswith("?")
+        chain = chain.when(hit, category)
+    trimmed = text.trim(F.coalesce(F.col(prompt), F.lit("")))
     return (
-        df.withColumn("__prompt", text.trim(F.coalesce(F.col(prompt), F.lit(""))))
+        df.withColumn("__prompt", text.ascii_words(trimmed))
         .withColumn(out, chain.otherwise(FALLBACK))
         .drop("__prompt")
     )

@@ -5,27 +5,26 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# The characters a script-language trim removes, as a regex class body.
+# The characters a script-language trim removes, and the same as a regex class body.
+BLANKS = (
+    "\t\n\x0b\f\r \u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+    "\u2028\u2029\u202f\u205f\u3000\ufeff"
+)
 WHITESPACE = (
     r"\t\n\x0B\f\r \u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
 )
 
-# A word boundary over ASCII letters, digits and underscore; Java's \b also counts other letters.
-ASCII_BOUNDARY = (
-    "(?:(?<=[A-Za-z0-9_])(?![A-Za-z0-9_])|(?<![A-Za-z0-9_])(?=[A-Za-z0-9_]))"
-)
-
 
 def ltrim(col: Column) -> Column:
-    return F.regexp_replace(col, f"^[{WHITESPACE}]+", "")
+    return F.ltrim(col, F.lit(BLANKS))
 
 
 def rtrim(col: Column) -> Column:
-    return F.regexp_replace(col, rf"[{WHITESPACE}]+\z", "")
+    return F.rtrim(col, F.lit(BLANKS))
 
 
 def trim(col: Column) -> Column:
-    return rtrim(ltrim(col))
+    return F.btrim(col, F.lit(BLANKS))
 
 
 def squeeze(col: Column) -> Column:
@@ -38,10 +37,13 @@ def utf16_length(col: Column) -> Column:
     return (F.octet_length(F.encode(col, "UTF-16BE")) / 2).cast("int")
 
 
-def matches(col: Column, pattern: str, ignore_case: bool = False) -> Column:
-    r"""Regex search where ``\b`` means an ASCII word boundary."""
-    flags = "(?i)" if ignore_case else ""
-    return col.rlike(flags + pattern.replace(r"\b", ASCII_BOUNDARY))
+def ascii_words(col: Column) -> Column:
+    r"""Text on which Java's ``\b`` and ``.`` mean ASCII word boundary and any but a line break.
+
+    Java counts all letters as word characters, so every non-ASCII character becomes ``~``; the
+    two Unicode line separators become newlines first.
+    """
+    return F.regexp_replace(F.translate(col, "\u2028\u2029", "\n\n"), r"[^\x00-\x7F]", "~")
 
 
 def leading_int(col: Column) -> Column:

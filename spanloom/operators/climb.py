@@ -12,6 +12,7 @@ from spanloom.runtime import settle
 
 MAX_ROUNDS = 40
 MAX_DEPTH = 10_000
+MAX_HOPS = 8
 
 
 def nearest_stop(
@@ -106,36 +107,30 @@ def ancestors(
     return reduce(DataFrame.unionByName, parts)
 
 
-def reach(edges: DataFrame, seeds: DataFrame, hops: int = 4) -> DataFrame:
+def reach(edges: DataFrame, seeds: DataFrame) -> DataFrame:
     """All nodes reachable from each seed, as distinct ``(seed, node)``.
 
     ``edges`` is ``(src, dst)`` and ``seeds`` is ``(seed)``; the seed itself is returned only when
-    a path leads back to it. Breadth-first with a visited set, so diamonds cost nothing extra;
-    ``hops`` edges are followed per stored round. The number of rounds follows the longest path.
+    a path leads back to it. Breadth-first with a visited set, so diamonds cost nothing extra. The
+    rounds follow ever more edges each, up to MAX_HOPS, and every round is stored; their number
+    grows with the longest path.
     """
-    edges = edges.select("src", "dst").distinct()
-    front = settle(
-        seeds.select("seed", F.col("seed").alias("src"))
-        .distinct()
-        .join(edges, "src")
-        .select("seed", F.col("dst").alias("node"))
-        .distinct()
-    )
-    visited = front
-    parts = [front]
+    edges = settle(edges.select("src", "dst").distinct())
+
+    def step(front: DataFrame) -> DataFrame:
+        nexts = front.withColumnRenamed("node", "src").join(edges, "src")
+        return nexts.select("seed", F.col("dst").alias("node")).distinct()
+
+    start = seeds.select("seed", F.col("seed").alias("node")).distinct()
+    front = settle(step(start))
+    parts, hops = [front], 1
     while not front.isEmpty():
-        layer = front
-        layers = []
-        for _ in range(hops):
-            layer = (
-                layer.withColumnRenamed("node", "src")
-                .join(edges, "src")
-                .select("seed", F.col("dst").alias("node"))
-                .distinct()
-            )
-            layers.append(layer)
-        step = reduce(DataFrame.unionByName, layers).distinct()
-        front = settle(step.join(visited, ["seed", "node"], "left_anti"))
-        parts.append(front)
+        hops = min(2 * hops, MAX_HOPS)
+        layers = [step(front)]
+        for _ in range(hops - 1):
+            layers.append(step(layers[-1]))
+        met = reduce(DataFrame.unionByName, layers).distinct()
         visited = reduce(DataFrame.unionByName, parts)
-    return visited
+        front = settle(met.join(visited, ["seed", "node"], "left_anti"))
+        parts.append(front)
+    return reduce(DataFrame.unionByName, parts)

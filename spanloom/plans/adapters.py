@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from spanloom.operators.ordered import has_hot_group, latest, scan
 from spanloom.plans import graph, semantics, tables
 from spanloom.plans.columns import MAIN_THREAD, canonical, millis
+from spanloom.runtime import spread
 
 CWD = "/repo"
 
@@ -21,6 +22,11 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def read_spread(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table whose rows cost far more to process than to move."""
+    return spread(read(spark, sf_dir, name))
+
+
 def utc_micros(col: Column) -> Column:
     return F.unix_micros(col.cast("timestamp"))
 
@@ -176,18 +182,17 @@ def event_nodes(spark: SparkSession, sf_dir: str, cold: bool) -> DataFrame:
 def event_semantics(nodes: DataFrame) -> DataFrame:
     """Grounded entries of the tools of ``events``."""
     entries = semantics.label_entries(semantics.tool_entries(nodes))
-    return semantics.ground(entries, graph.sessions(nodes))
+    return semantics.ground(entries, graph.session_facts(nodes))
 
 
-def event_tables(spark: SparkSession, sf_dir: str, cold: bool) -> dict[str, DataFrame]:
-    """Lazy ``nodes``, ``semantics`` and ``interaction_metrics`` of ``events``."""
-    nodes = event_nodes(spark, sf_dir, cold)
+def event_tables(nodes: DataFrame, cold: bool) -> dict[str, DataFrame]:
+    """``nodes``, ``semantics``, ``sessions`` and ``interaction_metrics`` over event nodes."""
     made = {
         "nodes": graph.with_seq(nodes, cold),
         "semantics": event_semantics(nodes),
         "sessions": graph.sessions(nodes),
     }
-    made["interaction_metrics"] = tables.interaction_metrics(made["nodes"], made["semantics"])
+    made["interaction_metrics"] = tables.interaction_metrics(nodes, made["semantics"])
     return made
 
 
@@ -240,7 +245,7 @@ def trace_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     Some spans are broken on purpose, for the span checks.
     """
-    rows = event_rows(spark, sf_dir)
+    rows = spread(event_rows(spark, sf_dir))
     k = F.col("k")
 
     def span_id(number: Column) -> Column:
@@ -332,7 +337,7 @@ def path_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = ["src/a.ts", "packages/core/x.test.ts", "README.md", "package.json", ".env.local",
              "apps/site/main.e2e.test.tsx", ".github/workflows/ci.yml", "settings.json",
              "libs/u/tsconfig.base.json", "data.bin", "pnpm-lock.yaml"]
-    return read(spark, sf_dir, "lineitem").select(
+    return read_spread(spark, sf_dir, "lineitem").select(
         a.alias("l_orderkey"),
         b.alias("l_linenumber"),
         F.concat(_pick(a, roots), _pick(a + b, names)).alias("path"),

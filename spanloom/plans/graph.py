@@ -52,23 +52,32 @@ def agents(nodes: DataFrame) -> DataFrame:
     return first.select(F.concat(F.lit("agent-"), user).alias("id"), user.alias("user_id"))
 
 
-def sessions(nodes: DataFrame) -> DataFrame:
-    """One row per harness session, described by its first interaction."""
+def session_facts(nodes: DataFrame) -> DataFrame:
+    """What the first interaction of each harness session tells about it."""
     described = F.struct(F.col("session_id").alias("id"), "user_id", "cwd", "branch")
-    agent = agents(nodes).select(F.col("id").alias("agent_id"), F.lit(1).alias("one"))
     return (
         nodes.filter("type = 'interaction'")
         .groupBy("harness_session")
-        .agg(F.min_by(described, _arrival()).alias("s"), F.lit(1).alias("one"))
+        .agg(F.min_by(described, _arrival()).alias("s"))
+        .select("s.*", F.col("harness_session").alias("session_id"))
+    )
+
+
+def sessions(nodes: DataFrame) -> DataFrame:
+    """One row per harness session, described by its first interaction."""
+    agent = agents(nodes).select(F.col("id").alias("agent_id"), F.lit(1).alias("one"))
+    return (
+        session_facts(nodes)
+        .withColumn("one", F.lit(1))
         .join(F.broadcast(agent), "one")  # one row
         .select(
-            "s.id",
+            "id",
             "agent_id",
-            "s.user_id",
-            F.col("harness_session").alias("session_id"),
+            "user_id",
+            "session_id",
             F.lit(None).cast("string").alias("title"),
-            "s.cwd",
-            "s.branch",
+            "cwd",
+            "branch",
         )
     )
 

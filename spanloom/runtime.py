@@ -59,3 +59,9 @@ def settle(df: DataFrame) -> DataFrame:
     path = f"{shared_dir(spark)}/spanloom/{uuid.uuid4().hex}"
     df.write.mode("error").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Use all cores on input of fewer partitions than cores; larger input is left alone."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
