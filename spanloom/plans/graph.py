@@ -169,18 +169,36 @@ def _without_cache_control(messages_json: Column) -> Column:
     # Everything the function needs is inside it, so workers need not import this package.
     def drop(texts: pd.Series) -> pd.Series:
         import json
+        import re
 
-        def clean(value):
-            if isinstance(value, dict):
-                return {k: clean(v) for k, v in value.items() if k != "cache_control"}
-            if isinstance(value, list):
-                return [clean(v) for v in value]
-            return value
+        token = re.compile(r'"(?:\\.|[^"\\])*"', re.S)
+        decoder = json.JSONDecoder()
 
         def strip(raw):
+            """Cut the members out and leave every other character as it is."""
             if raw is None:
                 return None
-            return json.dumps(clean(json.loads(raw)), ensure_ascii=False, separators=(",", ":"))
+            kept, at = "", 0
+            while True:
+                m = next(
+                    (
+                        t
+                        for t in token.finditer(raw, at)
+                        if t.group() == '"cache_control"' and raw[t.end() :].lstrip()[:1] == ":"
+                    ),
+                    None,
+                )
+                if m is None:
+                    return kept + raw[at:]
+                head, start = (kept + raw[at : m.start()]).rstrip(), raw.index(":", m.end()) + 1
+                start += len(raw[start:]) - len(raw[start:].lstrip())
+                at = decoder.raw_decode(raw, start)[1]
+                tail = raw[at:].lstrip()
+                if head.endswith(","):
+                    head = head[:-1]
+                elif tail.startswith(","):
+                    at = raw.index(",", at) + 1
+                kept = head
 
         return texts.map(strip)
 

@@ -372,7 +372,8 @@ def otel_nodes(
         )
         typed = typed.withColumn("id", F.when(lacks, F.raise_error(message)).otherwise(F.col("id")))
     rejects = typed.filter(lacks).select(SESSION, "id", "type", "missing")
-    good = typed.filter(~lacks)
+    # A filter would drop the lacking rows before they can fail.
+    good = typed if strict else typed.filter(~lacks)
 
     is_llm = F.col("type") == "llm_request"
     is_turn = F.col("type") == "interaction"

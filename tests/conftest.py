@@ -10,7 +10,11 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 def spark():
     from spanloom.runtime import local_session
 
-    return local_session(4, "tests")
+    session = local_session(4, "tests")
+    # Compiling each plan takes far longer than running it on a few rows.
+    session.conf.set("spark.sql.codegen.wholeStage", "false")
+    session.conf.set("spark.sql.codegen.factoryMode", "NO_CODEGEN")
+    return session
 
 
 @pytest.fixture

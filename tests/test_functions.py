@@ -25,7 +25,7 @@ INTENTS = [
     ("éfixé", "debug"),
     ("prefix", "other"),
     ("ready? ", "explain"),
-    ("why is it that they fail", "explain"),
+    ("why is it that they fail", "debug"),
     ("Let's break it down into etl steps", "feature"),
     ("Why does the import keep failing unexpectedly?", "debug"),
 ]
