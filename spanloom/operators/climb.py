@@ -12,7 +12,7 @@ from spanloom.runtime import settle
 
 MAX_ROUNDS = 40
 MAX_DEPTH = 10_000
-MAX_HOPS = 8
+MAX_HOPS = 4
 
 
 def nearest_stop(

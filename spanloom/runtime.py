@@ -34,6 +34,9 @@ def prepare(spark: SparkSession) -> SparkSession:
     spark.conf.set("spark.sql.adaptive.enabled", "true")
     spark.conf.set("spark.sql.adaptive.skewJoin.enabled", "true")
     spark.conf.set("spark.sql.adaptive.forceOptimizeSkewedJoin", "true")
+    # A union that reports its children's partitioning fails once AQE resizes one of them
+    # ("Can't zip RDDs with unequal numbers of partitions", Spark 4.1).
+    spark.conf.set("spark.sql.unionOutputPartitioning", "false")
     # The JVM never compiles methods above 8000 bytes; past that Spark splits the stage instead.
     spark.conf.set("spark.sql.codegen.hugeMethodLimit", "8000")
     return spark
