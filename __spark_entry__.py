@@ -438,7 +438,7 @@ def recovery_same_file(spark, sf):
 def preventable_cost(spark, sf):
     nodes, cold = _nodes(spark, sf)
     ranked = an.preventable_cost({"nodes": graph.with_seq(nodes, cold)}, cold=cold)
-    return _rounded(ranked, "recovery_tokens", "recovery_ms")
+    return _rounded(ranked, "recovery_tokens")
 
 
 def failure_facts(spark, sf):

@@ -502,7 +502,7 @@ SQL = {
       {recovery(' AND g.repo_path = f.repo_path', ', f.repo_path')} AND f.repo_path IS NOT NULL""",
     "preventable_cost": f"""WITH {NODES}, {TOOL_SEM}, {RECOVERY}, w AS ({recovery()})
       SELECT name, error_kind, count(*) AS errors, count(recovered_id) AS recovered,
-        round(sum(coalesce(tokens_between, 0)), 6) AS recovery_tokens, round(sum(coalesce(ms_between, 0)), 6) AS recovery_ms
+        round(sum(coalesce(tokens_between, 0)), 6) AS recovery_tokens, CAST(sum(coalesce(CAST(round(ms_between * 1e6) AS BIGINT), 0)) AS DOUBLE) / 1e6 AS recovery_ms
       FROM w GROUP BY name, error_kind""",
     "failure_facts": f"""WITH {NODES} SELECT id, error_kind AS kind, 'bad ' || CAST(k AS VARCHAR) AS message FROM nodes WHERE is_error""",
     "json_escape_hatch": f"""WITH {NODES} SELECT id, CASE WHEN k % 3 = 0 THEN 'end_turn' ELSE 'tool_use' END AS stop_reason FROM nodes

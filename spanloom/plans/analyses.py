@@ -184,11 +184,10 @@ def operational_errors(t: Tables) -> DataFrame:
     )
 
 
-def recovery_windows(t: Tables, same_file: bool = False, cold: bool | None = None) -> DataFrame:
-    """Each failed call with the next good call of the same tool and the cost in between.
+RECOVERY = ["failed_id", "error_kind", "recovered_id", "steps", "tokens_between"]
 
-    Tokens in between come from a running sum, so no range join is needed.
-    """
+
+def _recoveries(t: Tables, by: list[str], cold: bool | None) -> DataFrame:
     spent = scan(
         t["nodes"].select(
             "id", "type", "interaction_id", "seq", "name", "is_error", "error_kind", "tokens_out",
@@ -199,11 +198,9 @@ def recovery_windows(t: Tables, same_file: bool = False, cold: bool | None = Non
         [running_sum("spent", F.when(F.col("type") == "llm_request", F.col("tokens_out")))],
         cold,
     ).filter("type = 'tool' and name is not null")
-    by = ["interaction_id", "name"]
-    if same_file:
+    if "repo_path" in by:
         paths = _first_entries(t).filter("repo_path is not null").select("id", "repo_path")
         spent = spent.join(paths, "id")
-        by = [*by, "repo_path"]
     good = F.when(~F.col("is_error"), F.struct("id", "seq", "start_time_ns", "spent"))
     ranked = scan(spent, by, ["seq"], [upcoming("next", good)], cold)
     return ranked.filter("is_error").select(
@@ -213,18 +210,32 @@ def recovery_windows(t: Tables, same_file: bool = False, cold: bool | None = Non
         F.col("next.id").alias("recovered_id"),
         (F.col("next.seq") - F.col("seq")).alias("steps"),
         (F.col("next.spent") - F.col("spent")).alias("tokens_between"),
-        ((F.col("next.start_time_ns") - F.col("end_time_ns")) / 1e6).alias("ms_between"),
+        (F.col("next.start_time_ns") - F.col("end_time_ns")).alias("ns_between"),
+    )
+
+
+def recovery_windows(t: Tables, same_file: bool = False, cold: bool | None = None) -> DataFrame:
+    """Each failed call with the next good call of the same tool and the cost in between.
+
+    Tokens in between come from a running sum, so no range join is needed.
+    """
+    by = ["interaction_id", "name", *(["repo_path"] if same_file else [])]
+    return _recoveries(t, by, cold).select(
+        *by, *RECOVERY, (F.col("ns_between") / 1e6).alias("ms_between")
     )
 
 
 def preventable_cost(t: Tables, cold: bool | None = None) -> DataFrame:
-    """Errors ranked by frequency times recovery cost."""
-    windows = recovery_windows(t, cold=cold)
+    """Errors ranked by frequency times recovery cost.
+
+    Time is summed in whole nanoseconds, so the result does not depend on the order of the rows.
+    """
+    windows = _recoveries(t, ["interaction_id", "name"], cold)
     costs = windows.groupBy("name", "error_kind").agg(
         F.count("*").alias("errors"),
         F.count("recovered_id").alias("recovered"),
         F.sum(F.coalesce("tokens_between", F.lit(0.0))).alias("recovery_tokens"),
-        F.sum(F.coalesce("ms_between", F.lit(0.0))).alias("recovery_ms"),
+        (F.sum(F.coalesce("ns_between", F.lit(0))) / 1e6).alias("recovery_ms"),
     )
     return costs.orderBy(F.col("recovery_tokens").desc(), "name", "error_kind")
 
