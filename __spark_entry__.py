@@ -26,6 +26,15 @@ from spanloom.runtime import prepare, settle  # noqa: E402
 from spanloom.sources import chatlog, files  # noqa: E402
 from spanloom.sources import otel as otel_source  # noqa: E402
 
+# The training-data operators are optional; without their folder the rest works alone.
+try:
+    import corpus_pipeline
+    from spanloom.llm import queries as training
+except ModuleNotFoundError as missing:
+    if missing.name not in ("corpus_pipeline", "spanloom.llm"):
+        raise
+    corpus_pipeline = training = None
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 
@@ -596,8 +605,16 @@ def entry(spark: SparkSession) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {make.__name__: _query(make) for make in QUERIES}
+    made = {make.__name__: _query(make) for make in QUERIES}
+    if training:
+        made |= training.queries() | {"pipeline": corpus_pipeline.run}
+    return made
 
 
 def oracle_sql() -> dict[str, str]:
-    return oracle_queries.SQL
+    made = dict(oracle_queries.SQL)
+    if training:
+        made |= training.oracle_sql()
+        if corpus_pipeline.ORACLE_SQL:
+            made["pipeline"] = corpus_pipeline.ORACLE_SQL
+    return made
