@@ -4,12 +4,24 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from spanloom.llm import line_dedup
+from spanloom.llm import line_dedup, packing
 from spanloom.llm.common import table
 from spanloom.llm.sql import SQL
 from spanloom.runtime import prepare
 
 
+def vocabulary(name: str) -> str:
+    """Where the files of the public tokenizers lie."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(prepare(spark), sf_dir, "documents")
+    return packing.pack(docs, vocabulary("word_bpe_49k.json"), capacity=2048)
+
+
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(prepare(spark), sf_dir, "documents")
     return line_dedup.line_digest(docs, min_docs=10, min_chars=1)
