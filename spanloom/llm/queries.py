@@ -4,12 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from spanloom.llm import line_dedup, packing
+from spanloom.llm import line_dedup, packing, quality_rules
 from spanloom.llm.common import table
 from spanloom.llm.sql import SQL
 from spanloom.runtime import prepare
 
 
+def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.quality(table(prepare(spark), sf_dir, "documents"))
+
+
 def vocabulary(name: str) -> str:
     """Where the files of the public tokenizers lie."""
     import public_tokenizers

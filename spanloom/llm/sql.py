@@ -20,3 +20,51 @@ SELECT doc_id, count(*) AS n_lines, count(shared.key) AS n_dropped,
 FROM keyed LEFT JOIN shared ON keyed.key = shared.key
 GROUP BY doc_id
 """
+
+SQL["op2_quality_rules"] = r"""
+WITH lines AS (
+    SELECT doc_id, generate_subscripts(parts, 1) AS pos, unnest(parts) AS line
+    FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS parts FROM documents)
+),
+worded AS (
+    SELECT *, regexp_extract_all(line, '[^\x20\x09-\x0D]+') AS words FROM lines
+),
+judged AS (
+    SELECT *, length(array_to_string(words, '')) AS chars,
+        len(words) > 0 AND (
+            100 * length(regexp_replace(line, '[^#*$%&|<>!]', '', 'g')) > 10 * length(array_to_string(words, ''))
+            OR 100 * len(list_filter(words, lambda w: w IN ('|', '>', '<', '/', '-', '»', '«', '•', '·', '›'))) >= 20 * len(words)
+            OR (len(words) >= 10 AND len(list_filter(words, lambda w: regexp_matches(w, '[.!?,;:]$'))) = 0)
+            OR regexp_matches(lower(line), 'accept cookies|all rights reserved|click here|cookie policy|enable javascript|licensed under|lorem ipsum|privacy policy|released under the|sign up for|subscribe to our|terms of use')
+        ) AS fails,
+        row_number() OVER (PARTITION BY doc_id, line ORDER BY pos) AS nth
+    FROM worded
+),
+documents_judged AS (
+    SELECT doc_id, sum(len(words)) AS n_words, sum(chars) AS word_chars,
+        sum(length(regexp_replace(line, '[^#*$%&|<>]', '', 'g'))) AS n_symbols,
+        count(*) FILTER (WHERE len(words) > 0 AND nth > 1) AS n_dup_lines,
+        coalesce(sum(chars) FILTER (WHERE fails), 0) AS lost_chars
+    FROM judged GROUP BY doc_id
+),
+word_rows AS (
+    SELECT doc_id, unnest(words) AS w, generate_subscripts(words, 1) AS i
+    FROM (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents)
+),
+windows AS (
+    SELECT doc_id, i, w, lead(w, 1) OVER o AS w1, lead(w, 2) OVER o AS w2 FROM word_rows WINDOW o AS (PARTITION BY doc_id ORDER BY i)
+),
+again AS (
+    SELECT doc_id, i, w2 IS NOT NULL AND count(*) OVER (PARTITION BY doc_id, w, w1, w2) > 1 AS twice FROM windows
+),
+covered AS (
+    SELECT doc_id, twice OR lag(twice, 1, false) OVER o OR lag(twice, 2, false) OVER o AS inside FROM again WINDOW o AS (PARTITION BY doc_id ORDER BY i)
+),
+repeats AS (SELECT doc_id, count(*) FILTER (WHERE inside) AS n FROM covered GROUP BY doc_id),
+counted AS (SELECT d.*, coalesce(r.n, 0) AS n_repeat_words FROM documents_judged d LEFT JOIN repeats r USING (doc_id))
+SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols,
+    n_dup_lines::BIGINT AS n_dup_lines, n_repeat_words::BIGINT AS n_repeat_words, lost_chars::BIGINT AS lost_chars,
+    n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+    NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND 100 * lost_chars <= 30 * word_chars AS kept
+FROM counted
+"""
