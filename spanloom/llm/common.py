@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -59,3 +62,46 @@ class Scratch:
 
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def sorted_groups(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[pd.DataFrame]:
+    """The rows of each key in turn, from batches sorted by ``keys``; a group may span batches."""
+    held: list[pd.DataFrame] = []
+
+    def flush() -> pd.DataFrame:
+        whole = pd.concat(held, ignore_index=True) if len(held) > 1 else held[0]
+        held.clear()
+        return whole
+
+    for batch in batches:
+        if not len(batch):
+            continue
+        values = [batch[k].to_numpy() for k in keys]
+        change = np.zeros(len(batch), dtype=bool)
+        for v in values:
+            change[1:] |= v[1:] != v[:-1]
+        if held and any(held[-1][k].iloc[-1] != v[0] for k, v in zip(keys, values, strict=True)):
+            yield flush()
+        at = 0
+        for cut in np.flatnonzero(change):
+            held.append(batch.iloc[at:cut])
+            yield flush()
+            at = cut
+        held.append(batch.iloc[at:])
+    if held:
+        yield flush()
+
+
+def block_pairs(rows: DataFrame, size: Column, item: Column, block_rows: int) -> DataFrame:
+    """Deals the rows of each group to pairs of blocks ``bi <= bj`` of about ``block_rows`` rows.
+
+    ``size`` is the group's number of rows. A row of block b gets one copy for each pair b is in;
+    ``side`` tells whether it is there as bi (0) or as bj (1). A group of one block has the pair 0, 0.
+    """
+    blocks = F.ceil(size / F.lit(block_rows)).cast("int")
+    dealt = rows.withColumn("_blocks", blocks).withColumn("_b", F.pmod(F.xxhash64(item, F.lit(7)), F.col("_blocks")).cast("int"))
+    spread = dealt.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
+    return spread.withColumns({
+        "bi": F.least("_b", "_other"), "bj": F.greatest("_b", "_other"),
+        "side": (F.col("_b") > F.col("_other")).cast("int"),
+    }).drop("_blocks", "_b", "_other")

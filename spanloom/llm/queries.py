@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from spanloom.llm import line_dedup, packing, quality_rules
+from spanloom.llm import line_dedup, minhash_dedup, packing, quality_rules
 from spanloom.llm.common import table
 from spanloom.llm.sql import SQL
 from spanloom.runtime import prepare
@@ -14,6 +14,11 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality(table(prepare(spark), sf_dir, "documents"))
 
 
+def op4_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(prepare(spark), sf_dir, "documents")
+    return minhash_dedup.near_duplicates(docs, width=4, percent=80)
+
+
 def vocabulary(name: str) -> str:
     """Where the files of the public tokenizers lie."""
     import public_tokenizers
