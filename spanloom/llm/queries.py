@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from spanloom.llm import line_dedup, minhash_dedup, packing, quality_rules
+from spanloom.llm import embedding_dedup, line_dedup, minhash_dedup, packing, quality_rules, warc
 from spanloom.llm.common import table
 from spanloom.llm.sql import SQL
 from spanloom.runtime import prepare
@@ -36,6 +36,16 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.line_digest(docs, min_docs=10, min_chars=1)
 
 
+def op9_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_vectors(table(prepare(spark), sf_dir, "embeddings"), least=0.95)
+
+
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = warc.archive(table(prepare(spark), sf_dir, "pages"), min_bytes=0)
+    records = warc.read_records(index, with_payload=False)
+    return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def queries() -> dict:
     return {name: f for name, f in globals().items() if name.startswith("op")}
 

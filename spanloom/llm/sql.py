@@ -68,3 +68,45 @@ SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_s
     NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND 100 * lost_chars <= 30 * word_chars AS kept
 FROM counted
 """
+
+SQL["op10_warc"] = r"""
+WITH payloads AS (
+    SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha1(coalesce(html, '')) AS hex FROM pages
+),
+coded AS (
+    SELECT page_id, payload_bytes, array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ((
+        (strpos('0123456789abcdef', hex[(5 * i) // 4 + 1]) - 1) * 16
+        + greatest(strpos('0123456789abcdef', coalesce(nullif(hex[(5 * i) // 4 + 2], ''), '0')) - 1, 0)
+    ) >> (3 - (5 * i) % 4)) % 32, 1)), '') AS payload_digest
+    FROM payloads
+),
+largest AS (SELECT *, max(page_id) OVER (PARTITION BY payload_digest) AS last_id FROM coded)
+SELECT page_id, payload_bytes::BIGINT AS payload_bytes, payload_digest,
+    CASE WHEN page_id = last_id THEN 'response' ELSE 'revisit' END AS record_type,
+    CASE WHEN page_id <> last_id THEN last_id END AS refers_to
+FROM largest
+"""
+
+SQL["op9_embedding_dedup"] = r"""
+WITH RECURSIVE rows AS (
+    SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings
+),
+usable AS (
+    SELECT vec_id, v, sqrt(list_dot_product(v, v)) AS norm FROM rows
+    WHERE v IS NOT NULL AND len(list_filter(v, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+        AND len(list_filter(v, lambda x: x <> 0)) > 0
+),
+links AS (
+    SELECT a.vec_id AS a, b.vec_id AS b FROM usable a JOIN usable b ON a.vec_id <> b.vec_id AND len(a.v) = len(b.v)
+    WHERE list_dot_product(a.v, b.v) / (a.norm * b.norm) >= 0.95
+),
+reached AS (
+    SELECT a AS node, a AS other FROM links
+    UNION
+    SELECT r.node, l.b FROM reached r JOIN links l ON r.other = l.a
+),
+labels AS (SELECT node, min(other) AS least_id FROM reached GROUP BY node),
+counts AS (SELECT a, count(*) AS n FROM links GROUP BY a)
+SELECT vec_id, coalesce(n, 0) AS n_links, coalesce(least_id, vec_id) AS component_id, coalesce(least_id, vec_id) = vec_id AS kept
+FROM embeddings LEFT JOIN counts ON vec_id = a LEFT JOIN labels ON vec_id = node
+"""
