@@ -4,7 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from spanloom.llm import embedding_dedup, line_dedup, minhash_dedup, packing, quality_rules, warc
+from spanloom.llm import (
+    embedding_dedup,
+    html_extract,
+    line_dedup,
+    minhash_dedup,
+    packing,
+    quality_rules,
+    warc,
+)
 from spanloom.llm.common import table
 from spanloom.llm.sql import SQL
 from spanloom.runtime import prepare
@@ -31,6 +39,10 @@ def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(docs, vocabulary("word_bpe_49k.json"), capacity=2048)
 
 
+def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract_text(table(prepare(spark), sf_dir, "pages"))
+
+
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(prepare(spark), sf_dir, "documents")
     return line_dedup.line_digest(docs, min_docs=10, min_chars=1)
