@@ -11,6 +11,8 @@ from spanloom.llm import (
     minhash_dedup,
     packing,
     quality_rules,
+    secret_scan,
+    url_filters,
     warc,
 )
 from spanloom.llm.common import table
@@ -18,6 +20,16 @@ from spanloom.llm.sql import SQL
 from spanloom.runtime import prepare
 
 
+#: Rules of the url query: host, path, verdict.
+URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
+
+
+def op1_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(prepare(spark), sf_dir, "pages")
+    rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
+    return url_filters.judge_urls(pages, rules)
+
+
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality(table(prepare(spark), sf_dir, "documents"))
 
@@ -27,6 +39,10 @@ def op4_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_dedup.near_duplicates(docs, width=4, percent=80)
 
 
+def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.scan(table(prepare(spark), sf_dir, "documents"))
+
+
 def vocabulary(name: str) -> str:
     """Where the files of the public tokenizers lie."""
     import public_tokenizers

@@ -110,3 +110,22 @@ counts AS (SELECT a, count(*) AS n FROM links GROUP BY a)
 SELECT vec_id, coalesce(n, 0) AS n_links, coalesce(least_id, vec_id) AS component_id, coalesce(least_id, vec_id) = vec_id AS kept
 FROM embeddings LEFT JOIN counts ON vec_id = a LEFT JOIN labels ON vec_id = node
 """
+
+SQL["op1_url_filters"] = r"""
+WITH split AS (
+    SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages
+),
+parts AS (
+    SELECT page_id, translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+        regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path
+    FROM split
+),
+rules(rule_host, rule_path, rule_verdict) AS (
+    VALUES ('net', '/', 'block'), ('example.net', '/en/', 'allow'), ('example.com', '/de/', 'block'), ('org', '/fr/', 'allow')
+)
+SELECT page_id, any_value(host) AS host, any_value(path) AS path,
+    arg_max(rule_host || rule_path, length(rule_host || rule_path)) AS rule,
+    coalesce(arg_max(rule_verdict, length(rule_host || rule_path)), 'allow') AS verdict
+FROM parts LEFT JOIN rules ON (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path)
+GROUP BY page_id
+"""
