@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanloom.llm.common import Scratch, block_pairs, sorted_groups
+from spanloom.llm.common import Scratch, block_pairs, likely_members, sorted_groups
 from spanloom.llm.components import components
 
 SKETCH, POSTED, LOOSE = 64, 10, 0.5
@@ -215,6 +215,7 @@ def near_duplicates(
     sizes = families.groupBy("component").agg(F.count("*").alias("size"))
     members = families.join(sizes, "component").select(F.col("component").alias("family"), F.col("node").alias("rep"), "size")
     texts = docs.select(F.col(id_col).cast("bigint").alias("rep"), F.col(text_col).alias("text"))
+    texts = likely_members(texts, members, "rep")
     once = texts.join(members, "rep").groupBy("rep", "family", "size", F.xxhash64("text")).agg(F.first("text").alias("text"))
     dealt = block_pairs(once, F.col("size"), F.col("rep"), FAMILY_BLOCK).select("family", "bi", "bj", "side", "rep", "text")
     order = ["family", "bi", "bj"]
