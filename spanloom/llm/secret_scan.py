@@ -33,37 +33,42 @@ STATES = len(ALPHABET) + 1
 BLOCK = 256
 
 
-def _starts(steps: Column) -> Column:
-    """Sums of the elements before each one, and before the end."""
-    blocks = F.transform(F.sequence(F.lit(0), F.floor(F.size(steps) / BLOCK).cast("int")), lambda b: F.slice(steps, b * BLOCK + 1, BLOCK))
-    zero = F.lit(0).cast("bigint")
-    sums = F.transform(blocks, lambda b: F.aggregate(b, zero, lambda x, y: x + y))
-
-    def running(values: Column, first: Column) -> Column:
-        return F.aggregate(values, F.array(first), lambda seen, x: F.concat(seen, F.array(F.element_at(seen, -1) + x)))
+def _running(values: Column, first: Column) -> Column:
+    """``first``, and its sums with the values so far."""
+    return F.aggregate(values, F.array(first), lambda seen, x: F.concat(seen, F.array(F.element_at(seen, -1) + x)))
 
-    begins = running(sums, zero)
-    inner = F.zip_with(blocks, F.slice(begins, 1, F.size(blocks)), lambda b, s: F.slice(running(b, s), 1, F.size(b)))
-    return F.flatten(inner)
 
+def add_matches(rows: DataFrame, name: str, pattern: str, group: int, kind: str, least: int) -> DataFrame:
+    """Adds ``name``: spans (start, kind's number, end, value) of the matches whose value has ``least`` characters.
 
-def _matches(text: Column, pattern: str, group: int, kind: str, least: int) -> Column:
-    """Spans (start, kind's number, end, value) of the matches whose value has ``least`` characters."""
-    whole = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    value = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else whole
-    pieces = F.transform(F.split(text, pattern, -1), lambda x: F.char_length(x).cast("bigint"))
+    Column by column, as an expression inside a lambda function is computed for every element. Texts
+    without a match have empty arrays throughout.
+    """
+    there = F.rlike("text", F.lit(pattern))
+    nothing = F.array().cast("array<string>")
+    found = rows.withColumn("whole", F.when(there, F.regexp_extract_all("text", F.lit(pattern), F.lit(0))).otherwise(nothing))
+    some = F.size("whole") > 0
+    value = F.when(some, F.regexp_extract_all("text", F.lit(pattern), F.lit(group))).otherwise(nothing) if group else F.col("whole")
+    found = found.withColumns({"value": value, "pieces": F.when(some, F.split("text", pattern, -1)).otherwise(nothing)})
+    # The end of a match comes this much after the end of the one before.
+    zero = F.lit(0).cast("bigint")
+    steps = F.zip_with(F.slice("pieces", 1, F.size("whole")), F.col("whole"), lambda p, m: (F.char_length(p) + F.char_length(m)).cast("bigint"))
+    found = found.withColumn("steps", steps)
+    numbers = F.sequence(F.lit(0), F.floor(F.size("steps") / BLOCK).cast("int"))
+    found = found.withColumn("blocks", F.transform(numbers, lambda b: F.slice("steps", b * BLOCK + 1, BLOCK)))
+    found = found.withColumn("begins", _running(F.transform("blocks", lambda b: F.aggregate(b, zero, lambda x, y: x + y)), zero))
+    ends = F.flatten(F.zip_with("blocks", F.slice("begins", 1, F.size("blocks")), lambda b, s: F.slice(_running(b, s), 2, F.greatest(F.size(b), F.lit(1)))))
+    found = found.withColumn("ends", ends)
     number = KINDS.index(kind)
-    steps = F.zip_with(F.slice(pieces, 1, F.size(whole)), whole, lambda p, m: p + F.char_length(m))
-    ends = F.zip_with(_starts(steps), steps, lambda s, x: s + x)
     spans = F.zip_with(
-        F.arrays_zip(ends.alias("end"), whole.alias("whole")), value,
+        F.arrays_zip("ends", "whole"), F.col("value"),
         lambda s, v: F.struct(
-            (s["end"] - F.char_length(s["whole"])).alias("start"), F.lit(number).alias("kind"), s["end"].alias("end"), v.alias("value")
+            (s["ends"] - F.char_length(s["whole"])).alias("start"), F.lit(number).alias("kind"), s["ends"].alias("end"), v.alias("value")
         ),
     )
-    kept = F.filter(spans, lambda s: F.char_length(s["value"]) >= least)
-    empty = F.array().cast("array<struct<start:bigint,kind:int,end:bigint,value:string>>")
-    return F.when(F.rlike(text, F.lit(pattern)), kept).otherwise(empty)
+    found = found.withColumn("spans", spans)
+    kept = F.filter("spans", lambda s: F.char_length(s["value"]) >= least)
+    return found.withColumn(name, kept).drop("whole", "value", "pieces", "steps", "blocks", "begins", "ends", "spans")
 
 
 def _states(token: Column) -> Column:
@@ -92,7 +97,7 @@ def ratios(samples: DataFrame) -> list[float]:
 
 
 def score(token: Column, model: list[float]) -> Column:
-    table = F.lit(model)
+    table = F.split(F.lit(",".join(map(repr, model))), ",").cast("array<double>")  # one constant
     return F.aggregate(_steps(_states(token)), F.lit(0.0), lambda total, s: total + F.element_at(table, s + 1))
 
 
@@ -118,14 +123,14 @@ def scan(
     kind both models are even and find nothing.
     """
     scratch = Scratch(docs.sparkSession)
-    text = F.coalesce("text", F.lit(""))
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     share = min(1.0, word_rows / max(1, docs.count()))
-    found = [_matches(text, *PATTERNS[kind][:2], kind, PATTERNS[kind][2]) for kind in KINDS[:3]]
-    words = F.when(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < int(share * 1_000_000), F.array_distinct(F.regexp_extract_all(text, F.lit(WORD), F.lit(0))))
-    seen = rows.select(
-        "id", F.array_sort(F.concat(*found)).alias("base"), _matches(text, TOKEN, 0, "markov", 0).alias("tokens"), words.alias("words")
-    )
+    chosen = F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < int(share * 1_000_000)
+    seen = rows.withColumn("words", F.when(chosen, F.array_distinct(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)))))
+    for kind in KINDS[:3]:
+        seen = add_matches(seen, kind, *PATTERNS[kind][:2], kind, PATTERNS[kind][2])
+    seen = add_matches(seen, "tokens", TOKEN, 0, "markov", 0)
+    seen = seen.select("id", F.array_sort(F.concat(*KINDS[:3])).alias("base"), "tokens", "words")
     seen = scratch.keep(seen, "seen")
     samples = seen.select(F.explode("base.value").alias("token"), F.lit(True).alias("random")).filter("char_length(token) >= 16").unionByName(
         seen.select(F.explode("words").alias("token"), F.lit(False).alias("random"))
