@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from spanloom.llm import (
     embedding_dedup,
@@ -12,6 +13,7 @@ from spanloom.llm import (
     packing,
     quality_rules,
     secret_scan,
+    source_mixing,
     url_filters,
     warc,
 )
@@ -39,6 +41,21 @@ def op4_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_dedup.near_duplicates(docs, width=4, percent=80)
 
 
+#: Shares of tokens that a mixture should hold.
+TARGETS = {"clean": 0.96, "junk": 0.02, "toxic": 0.02}
+
+
+def domain_labels(labels: DataFrame) -> DataFrame:
+    """The labelled table's two marks as one domain per document."""
+    domain = F.when(F.col("toxic") == 1, "toxic").when(F.col("quality") == 0, "junk").when(F.col("quality") == 1, "clean")
+    return labels.select("doc_id", domain.alias("domain"))
+
+
+def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(prepare(spark), sf_dir, "documents"), table(spark, sf_dir, "labels")
+    return source_mixing.document_rates(docs, domain_labels(labels), TARGETS)
+
+
 def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.scan(table(prepare(spark), sf_dir, "documents"))
 
