@@ -111,13 +111,12 @@ def block_pairs(rows: DataFrame, size: Column, item: Column, block_rows: int) ->
 FILTER_BITS = 1 << 23
 
 
-def likely_members(rows: DataFrame, members: DataFrame, key: str) -> DataFrame:
-    """The rows whose ``key`` is among ``members``, and few others, found without a shuffle of ``rows``.
+def maybe_member(members: DataFrame, key: str) -> Column:
+    """Whether a row's ``key`` is perhaps among ``members``; false only where it is not.
 
-    One bit per hash of a member, in a bit set of fixed size. With too many members it lets
-    everything pass; an exact join has to follow in any case.
+    One bit per hash of a member, in a bit set of fixed size, so that rows of other keys need no
+    shuffle. With too many members it is true everywhere; an exact join has to follow in any case.
     """
-    spark = rows.sparkSession
     place = F.pmod(F.xxhash64(F.col(key).cast("bigint")), F.lit(FILTER_BITS))
     words = members.select(place.alias("at")).groupBy(F.expr("at div 32").alias("word")).agg(
         F.bit_or(F.expr("shiftleft(1L, cast(at % 32 as int))")).alias("bits")
@@ -125,11 +124,16 @@ def likely_members(rows: DataFrame, members: DataFrame, key: str) -> DataFrame:
     bits = np.zeros(FILTER_BITS // 32, dtype=np.uint32)
     for word, value in words.collect():  # at most FILTER_BITS / 32 rows
         bits[word] = value
-    shared = spark.sparkContext.broadcast(bits)
+    shared = members.sparkSession.sparkContext.broadcast(bits)
 
     @F.pandas_udf("boolean")
     def among(at: pd.Series) -> pd.Series:
         found = at.to_numpy(dtype=np.int64)
         return pd.Series((shared.value[found >> 5] >> (found & 31).astype(np.uint32)) & 1 == 1)
 
-    return rows.filter(F.col(key).isNotNull()).filter(among(place))
+    return among(place)
+
+
+def likely_members(rows: DataFrame, members: DataFrame, key: str) -> DataFrame:
+    """The rows whose ``key`` is among ``members``, and few others, found without a shuffle of ``rows``."""
+    return rows.filter(F.col(key).isNotNull()).filter(maybe_member(members, key))

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanloom.llm.common import Scratch, block_pairs, likely_members, sorted_groups
+from spanloom.llm.common import Scratch, block_pairs, likely_members, maybe_member, sorted_groups
 from spanloom.llm.components import components
 
 SKETCH, POSTED, LOOSE = 64, 10, 0.5
@@ -234,3 +234,24 @@ def near_duplicates(
         F.lit(None).cast("bigint").alias("component_id"), F.lit(True).alias("kept"),
     )
     return named.unionByName(without)
+
+
+def drop_near_duplicates(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80
+) -> DataFrame:
+    """``docs`` with one document of each group, that of the smallest id; all columns stay.
+
+    Of rows that share an id one stays, unless that id goes; rows without an id all stay. Only rows that may have to go are
+    shuffled.
+    """
+    scratch = Scratch(docs.sparkSession)
+    judged = scratch.keep(near_duplicates(docs, id_col, text_col, width, percent).select(F.col(id_col).alias("id"), "kept"), "judged")
+    gone = judged.filter("NOT kept").select("id").distinct()
+    again = judged.filter("id IS NOT NULL").groupBy("id").agg(F.count("*").alias("n")).filter("n > 1").select("id")
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    rows = docs.select(F.col(id_col).cast("bigint").alias("id"), row.alias("row"))
+    rows = rows.withColumn("maybe", maybe_member(gone.unionByName(again), "id") & F.col("id").isNotNull())
+    checked = rows.filter("maybe").join(gone, "id", "left_anti")
+    once = checked.groupBy("id").agg(F.first("row").alias("row"))
+    left = rows.filter("NOT maybe").select("row").unionByName(once.select("row"))
+    return left.select(*[F.col("row")[c].alias(c) for c in docs.columns])

@@ -173,10 +173,13 @@ def folded_rate(posteriors: Column, steps: list[list[float]]) -> Column:
     return F.aggregate(F.lit(steps), F.lit(1.0), step)
 
 
-def fit_rates(members: DataFrame, shares: list[float], tokens: float | None, rounds: int, close: float) -> tuple[list[list[float]], list[float], list[float]]:
+def fit_rates(
+    members: DataFrame, shares: list[float], tokens: float | None, rounds: int, close: float, anchor: int | None = None
+) -> tuple[list[list[float]], list[float], list[float]]:
     """Steps, targets and reached totals, for ``members`` of n_tokens and posteriors.
 
-    ``tokens`` is the wanted total; by default the most that needs no document more than once on average.
+    ``tokens`` is the wanted total; by default that in which the domain ``anchor`` has all its tokens once,
+    or without one the most that needs no document more than once on average.
     """
     k = len(shares)
 
@@ -185,7 +188,9 @@ def fit_rates(members: DataFrame, shares: list[float], tokens: float | None, rou
         return [row[f"k{i}"] or 0.0 for i in range(k)]
 
     mass = totals(F.lit(1.0))
-    if tokens is None:
+    if tokens is None and anchor is not None:
+        tokens = mass[anchor] / shares[anchor]
+    elif tokens is None:
         tokens = min((m / s for m, s in zip(mass, shares, strict=True) if s > 0 and m > 0), default=0.0)
     targets = [s * tokens for s in shares]
     steps: list[list[float]] = []
@@ -206,7 +211,7 @@ def members(docs: DataFrame, classifier: Classifier, id_col: str, text_col: str)
 
 def fit_mixture(
     docs: DataFrame, labels: DataFrame, targets: dict[str, float], id_col: str = "doc_id", text_col: str = "text",
-    tokens: float | None = None, label_rows: int = 20_000, rounds: int = 40, close: float = 1e-4,
+    tokens: float | None = None, anchor: str | None = None, label_rows: int = 20_000, rounds: int = 40, close: float = 1e-4,
 ) -> tuple[Mixture, DataFrame]:
     """The mixture and a stored table of id, n_tokens and posteriors, one row per row of ``docs``.
 
@@ -217,7 +222,7 @@ def fit_mixture(
     whole = sum(targets.values())
     classifier = fit_classifier(docs, labels, domains, id_col, text_col, label_rows)
     table = Scratch(docs.sparkSession).keep(members(docs, classifier, id_col, text_col), "members")
-    steps, wanted, reached = fit_rates(table, [targets[d] / whole for d in domains], tokens, rounds, close)
+    steps, wanted, reached = fit_rates(table, [targets[d] / whole for d in domains], tokens, rounds, close, None if anchor is None else domains.index(anchor))
     return Mixture(classifier, steps, wanted, reached), table
 
 
