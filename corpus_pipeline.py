@@ -12,9 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanloom.llm import line_dedup, minhash_dedup, packing, quality_rules, source_mixing
-from spanloom.llm.common import Scratch, table
+from spanloom.llm.common import Scratch, ready, table
 from spanloom.llm.queries import domain_labels, vocabulary
-from spanloom.runtime import prepare
 
 #: Shares of tokens after mixing. Clean documents come once each; toxic ones are thinned out.
 SHARES = {"clean": 0.99, "toxic": 0.01}
@@ -27,6 +26,7 @@ def counted(docs: DataFrame) -> DataFrame:
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that fail the rules go from the text, documents that are rejected go altogether."""
+    ready(spark)
     return counted(quality_rules.clean(docs))
 
 
@@ -65,7 +65,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages over documents, each written before the next one reads it."""
-    scratch = Scratch(prepare(spark))
+    scratch = Scratch(ready(spark))
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
         docs = scratch.keep(stage(spark, docs, sf_dir), name)

@@ -10,13 +10,21 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanloom.runtime import shared_dir
+from spanloom.runtime import prepare, shared_dir
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: The characters that separate words, as a string and inside a regular expression.
 BLANKS = "\t\n\x0b\x0c\r "
 
 
+def ready(spark: SparkSession) -> SparkSession:
+    """The library's settings, and batches for Python tasks that stay small however long the texts are."""
+    prepare(spark)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
+    return spark
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

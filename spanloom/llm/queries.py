@@ -17,9 +17,8 @@ from spanloom.llm import (
     url_filters,
     warc,
 )
-from spanloom.llm.common import table
+from spanloom.llm.common import ready, table
 from spanloom.llm.sql import SQL
-from spanloom.runtime import prepare
 
 
 #: Rules of the url query: host, path, verdict.
@@ -27,17 +26,17 @@ URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.
 
 
 def op1_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = table(prepare(spark), sf_dir, "pages")
+    pages = table(ready(spark), sf_dir, "pages")
     rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
     return url_filters.judge_urls(pages, rules)
 
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality_rules.quality(table(prepare(spark), sf_dir, "documents"))
+    return quality_rules.quality(table(ready(spark), sf_dir, "documents"))
 
 
 def op4_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(prepare(spark), sf_dir, "documents")
+    docs = table(ready(spark), sf_dir, "documents")
     return minhash_dedup.near_duplicates(docs, width=4, percent=80)
 
 
@@ -52,12 +51,12 @@ def domain_labels(labels: DataFrame) -> DataFrame:
 
 
 def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, labels = table(prepare(spark), sf_dir, "documents"), table(spark, sf_dir, "labels")
+    docs, labels = table(ready(spark), sf_dir, "documents"), table(spark, sf_dir, "labels")
     return source_mixing.document_rates(docs, domain_labels(labels), TARGETS)
 
 
 def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return secret_scan.scan(table(prepare(spark), sf_dir, "documents"))
+    return secret_scan.scan(table(ready(spark), sf_dir, "documents"))
 
 
 def vocabulary(name: str) -> str:
@@ -68,25 +67,25 @@ def vocabulary(name: str) -> str:
 
 
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(prepare(spark), sf_dir, "documents")
+    docs = table(ready(spark), sf_dir, "documents")
     return packing.pack(docs, vocabulary("word_bpe_49k.json"), capacity=2048)
 
 
 def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return html_extract.extract_text(table(prepare(spark), sf_dir, "pages"))
+    return html_extract.extract_text(table(ready(spark), sf_dir, "pages"))
 
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(prepare(spark), sf_dir, "documents")
+    docs = table(ready(spark), sf_dir, "documents")
     return line_dedup.line_digest(docs, min_docs=10, min_chars=1)
 
 
 def op9_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return embedding_dedup.near_vectors(table(prepare(spark), sf_dir, "embeddings"), least=0.95)
+    return embedding_dedup.near_vectors(table(ready(spark), sf_dir, "embeddings"), least=0.95)
 
 
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    index = warc.archive(table(prepare(spark), sf_dir, "pages"), min_bytes=0)
+    index = warc.archive(table(ready(spark), sf_dir, "pages"), min_bytes=0)
     records = warc.read_records(index, with_payload=False)
     return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
