@@ -4,14 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from functools import reduce
+from itertools import count
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spanloom.runtime import settle
 
-MAX_ROUNDS = 40
-MAX_DEPTH = 10_000
 MAX_HOPS = 4
 
 
@@ -28,7 +27,9 @@ def nearest_stop(
     Pointer doubling: each round an unfinished pointer jumps to its target's pointer, so a chain
     of depth d takes log2(d) joins. Returns ``(scope..., node, out, found)`` for nodes whose parent
     exists; ``found`` tells whether ``out`` satisfies ``is_stop``. A parent missing from ``links``
-    ends the chain. Only unfinished rows are joined again, and each round is stored.
+    ends the chain. Only unfinished rows are joined again, and each round is stored. Nodes whose
+    chain runs into a cycle without meeting a stop have no end and no row: after as many rounds as
+    the number of nodes has binary digits, they are what is left.
     """
     scope = list(scope)
     base = links.select(
@@ -47,11 +48,13 @@ def nearest_stop(
             (F.col("p_hit") | F.col("p_goes_on").isNull()).alias("done"),
         )
     )
-    finished = [state.filter("done")]
     pending = state.filter("not done")
-    for _ in range(MAX_ROUNDS):
-        if pending.isEmpty():
+    reached, nodes = 1, None
+    while not pending.isEmpty():
+        nodes = base.count() if nodes is None else nodes
+        if reached > nodes:
             break
+        reached *= 2
         jump = state.select(
             *scope,
             F.col("n").alias("to"),
@@ -70,11 +73,8 @@ def nearest_stop(
             )
             .unionByName(state.filter("done"))
         )
-        finished = [state.filter("done")]
         pending = state.filter("not done")
-    else:
-        raise ValueError("parent chain has a cycle")
-    return finished[0].select(*scope, F.col("n").alias(node), F.col("to").alias(out), "found")
+    return state.filter("done").select(*scope, F.col("n").alias(node), F.col("to").alias(out), "found")
 
 
 def ancestors(
@@ -83,16 +83,17 @@ def ancestors(
     """Every proper ancestor of each seed as ``(seed, node, depth, trail)``; depth 1 is the parent.
 
     ``trail`` lists ``mark`` of the nodes from just below the ancestor down to the seed. One join
-    per level of depth.
+    per level of depth. A seed whose chain runs into a cycle has no end and no rows.
     """
     mark = F.col(node) if mark is None else mark
     up = links.select(F.col(node).alias("here"), F.col(parent).alias("next"), mark.alias("m"))
     known = links.select(F.col(node).alias("next"))
     steps = up.filter("next is not null and next <> here").join(known, "next")
-    front = seeds.select(F.col(node).alias("seed"), F.col(node).alias("here"))
+    ending = nearest_stop(links, node, parent, F.lit(False)).select(F.col(node).alias("seed"))
+    front = seeds.select(F.col(node).alias("seed"), F.col(node).alias("here")).join(ending.distinct(), "seed", "left_semi")
     front = front.withColumn("trail", F.array().cast(f"array<{up.schema['m'].dataType.simpleString()}>"))
     parts = []
-    for depth in range(1, MAX_DEPTH):
+    for depth in count(1):
         front = settle(
             front.join(steps, "here").select(
                 "seed", F.col("next").alias("here"), F.concat(F.array("m"), "trail").alias("trail")
@@ -102,8 +103,6 @@ def ancestors(
         if parts and front.isEmpty():
             break
         parts.append(part)
-    else:
-        raise ValueError("parent chain has a cycle")
     return reduce(DataFrame.unionByName, parts)
 
 

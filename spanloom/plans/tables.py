@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -333,17 +334,33 @@ def stored_tables(graph: g.Graph) -> dict[str, DataFrame]:
 # ---- Storage ---------------------------------------------------------------------------------
 
 
+#: Names the folder of a snapshot that is whole.
+CURRENT = "_current"
+
+
 def write_tables(tables: dict[str, DataFrame], path: str) -> None:
-    """One Parquet directory per stored table."""
-    for table in STORED:
-        tables[table.name].write.mode("overwrite").parquet(f"{path.rstrip('/')}/{table.name}")
+    """One Parquet directory per stored table, and of ``rejects`` if there are any.
+
+    They go to a new folder below ``path``, which is named as the current one when all are written; a
+    write that fails half-way leaves the earlier snapshot as it is.
+    """
+    base, version = path.rstrip("/"), uuid.uuid4().hex
+    for name in [*(t.name for t in STORED), *(["rejects"] if "rejects" in tables else [])]:
+        tables[name].write.mode("error").parquet(f"{base}/{version}/{name}")
+    spark = tables[STORED[0].name].sparkSession
+    names = sorted(tables.keys() & {"rejects"})
+    spark.createDataFrame([(version, names)], "version string, extras array<string>").coalesce(1).write.mode(
+        "overwrite"
+    ).json(f"{base}/{CURRENT}")
 
 
 def read_tables(spark: SparkSession, path: str) -> dict[str, DataFrame]:
-    return {
-        t.name: spark.read.schema(t.schema).parquet(f"{path.rstrip('/')}/{t.name}")
-        for t in STORED
-    }
+    """The tables of the current snapshot."""
+    base = path.rstrip("/")
+    current = spark.read.schema("version string, extras array<string>").json(f"{base}/{CURRENT}").first()
+    folder = f"{base}/{current.version}"
+    made = {t.name: spark.read.schema(t.schema).parquet(f"{folder}/{t.name}") for t in STORED}
+    return made | {name: spark.read.parquet(f"{folder}/{name}") for name in current.extras or []}
 
 
 def register(tables: dict[str, DataFrame]) -> dict[str, DataFrame]:

@@ -42,6 +42,15 @@ def prepare(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def own_session(spark: SparkSession) -> SparkSession:
+    """A session with the settings of ``spark`` and table names of its own."""
+    made = spark.newSession()
+    for key, value in spark.conf.getAll.items():
+        if made.conf.isModifiable(key):
+            made.conf.set(key, value)
+    return made
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors can reach, as named by spark.checkpoint.dir."""
     configured = spark.conf.get("spark.checkpoint.dir", None)

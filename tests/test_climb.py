@@ -19,10 +19,21 @@ def test_nearest_stop_over_long_chains(spark):
     assert near["n3"] == ("n0", False)
 
 
-def test_nearest_stop_rejects_cycles(spark):
-    links = spark.createDataFrame([("a", "b"), ("b", "a")], "id string, parent string")
-    with pytest.raises(ValueError, match="cycle"):
-        nearest_stop(links, "id", "parent", F.lit(False))
+def test_cycles_are_set_aside(spark):
+    rows = [("a", "b"), ("b", "a"), ("tail", "b"), ("c", "d"), ("d", "e"), ("e", None)]
+    links = spark.createDataFrame(rows, "id string, parent string")
+    got = {r.id: r.stop for r in nearest_stop(links, "id", "parent", F.lit(False)).collect()}
+    assert got == {"c": "e", "d": "e"}
+    near = {r.id: (r.stop, r.found) for r in nearest_stop(links, "id", "parent", F.col("id") == "b").collect()}
+    assert near["a"] == ("b", True) and near["tail"] == ("b", True) and near["c"] == ("e", False)
+    above = {(r.seed, r.id) for r in ancestors(links, "id", "parent", links).collect()}
+    assert above == {("c", "d"), ("c", "e"), ("d", "e")}
+
+
+def test_chains_of_any_depth(spark):
+    links = spark.range(12_000).selectExpr("id", "nullif(id - 1, -1) as parent")
+    roots = nearest_stop(links, "id", "parent", F.lit(False))
+    assert roots.filter("stop = 0").count() == 11_999
 
 
 def test_scopes_keep_equal_ids_apart(spark):

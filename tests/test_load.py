@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from spanloom import Workbench
 from spanloom.plans import analyses, tables
-from spanloom.plans.workbench import build_stages, preview, read_only
+from spanloom.plans import guard
+from spanloom.plans.workbench import build_stages, preview
 from spanloom.sources import files, otel
 from traces import (
     at, b64, failed_edit, lines, log, reply, result, span, trace, traced_session, use, user, write,
@@ -174,11 +175,66 @@ def test_analyses(loaded):
         "debug": 1, "feature": 1}
 
 
-def test_read_only_guard():
-    assert read_only(" select 1 ; ") == "select 1"
-    for bad in ("", "drop table x", "select 1; select 2", "selecting"):
-        with pytest.raises(ValueError):
-            read_only(bad)
+RELATIONS = ["nodes", "tools"]
+
+
+@pytest.mark.parametrize("sql", [
+    " select 1 ; ", "select * from NODES where id like '%;%'",
+    "with x as (select * from nodes) select count(*) from x join tools t on t.id = x.id having count(*) > 1 order by 1 limit 3",
+    "with recursive r as (select 1 as n union all select n + 1 from r where n < 3) select * from r",
+    "select id from nodes where exists (select 1 from tools) union all select id from tools",
+    "select *, row_number() over (partition by id order by seq) from nodes lateral view explode(split(a, ',')) t as y",
+    "select * from range(5)", "values (1)",
+])
+def test_guard_lets_queries_pass(spark, sql):
+    assert guard.checked(spark, sql, RELATIONS) == sql.strip().rstrip(";").strip()
+
+
+@pytest.mark.parametrize("sql", [
+    "", "selecting", "drop table x", "select 1; select 2", "create view v as select 1", "set a = b", "cache table nodes",
+    "with x as (select 1) insert overwrite directory '/tmp/x' using parquet select * from x",
+    "with x as (select 1) insert into nodes select * from x", "with x as (select 1) delete from nodes",
+    "merge into nodes using tools on 1 = 1 when matched then delete", "from nodes insert into tools select *",
+    "select * from parquet.`/etc`", "select 1 from nodes where id in (select id from text.`/a`)",
+    "select (select max(x) from json.`/a`)", "with nodes2 as (select * from nodes2) select * from nodes2",
+    "select * from other", "select * from spark_catalog.default.nodes", "select reflect('java.lang.System', 'exit', 1)",
+    "select upper(java_method('a', 'b'))", "select input_file_name() from nodes", "select transform(a) using 'cat' from nodes",
+])
+def test_guard_refuses_the_rest(spark, sql):
+    with pytest.raises(guard.RefusedQuery):
+        guard.checked(spark, sql, RELATIONS)
+
+
+def test_workbenches_keep_apart(spark, loaded, tmp_path):
+    first, *_ = loaded
+    before = first.query("select count(*) c from nodes").first().c
+    write(tmp_path / "one", "a.jsonl", lines(failed_edit()))
+    second = Workbench.load(spark, [str(tmp_path / "one")])
+    assert second.query("select count(*) c from nodes").first().c == 5 != before
+    assert first.query("select count(*) c from nodes").first().c == before
+    assert not spark.catalog.tableExists("nodes")
+    with pytest.raises(guard.RefusedQuery):
+        first.query("with x as (select 1) delete from nodes")
+
+
+def test_rejects_are_told(loaded, spark):
+    bench, out, _ = loaded
+    told = bench.summary()["rejects"]
+    assert told == bench.query("select count(*) c from rejects").first().c
+    assert Workbench.open(spark, out).summary()["rejects"] == told
+
+
+def test_a_failed_save_keeps_the_snapshot(loaded, spark, tmp_path):
+    bench, *_ = loaded
+    path = str(tmp_path / "kept")
+    bench.save(path)
+    whole = Workbench.open(spark, path).summary()
+    broken = {**bench.relations, "sessions": bench.relations["sessions"].withColumn("x", F.raise_error(F.lit("stop")))}
+    from spanloom.plans import tables
+
+    with pytest.raises(Exception, match="stop"):
+        tables.write_tables(broken, path)
+    assert Workbench.open(spark, path).summary() == {**whole, "dirs": [path]}
 
 
 def test_preview_caps(spark):
