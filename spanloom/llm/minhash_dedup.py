@@ -32,7 +32,7 @@ CLOSE_SKETCH, CLOSE = 128, 0.62
 #: Classes of a list, or documents of a family, that meet in one task.
 LIST_BLOCK, FAMILY_BLOCK = 512, 256
 #: Entries of a worker's memory of word hashes; it starts anew beyond that.
-WORDS_KEPT = 1_000_000
+WORDS_KEPT = 200_000
 
 _SPACE = "id bigint, h1 bigint, h2 bigint, n_shingles bigint, sketch array<bigint>"
 

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from spanloom.llm.common import Scratch
 
 #: Entries of a worker's memory of words; it starts anew beyond that.
-WORDS_KEPT = 1_000_000
+WORDS_KEPT = 600_000
 
 #: Stands for a missing document id.
 NO_ID = -(2**63)
