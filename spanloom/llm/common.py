@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import uuid
 from collections.abc import Iterator
+from pathlib import Path
 
 import numpy as np
 import pandas as pd
@@ -18,8 +20,15 @@ BLANKS = "\t\n\x0b\x0c\r "
 
 
 def ready(spark: SparkSession) -> SparkSession:
-    """The library's settings, and batches for Python tasks that stay small however long the texts are."""
+    """The library's settings, and batches for Python tasks that stay small however long the texts are.
+
+    Python tasks look for this package where the driver found it, besides their own path.
+    """
     prepare(spark)
+    root = str(Path(__file__).resolve().parents[2])
+    environment = spark.sparkContext.environment
+    if root not in environment.get("PYTHONPATH", "").split(os.pathsep):
+        environment["PYTHONPATH"] = os.pathsep.join(filter(None, [environment.get("PYTHONPATH"), root]))
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
     return spark
