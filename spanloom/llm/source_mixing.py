@@ -21,22 +21,28 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spanloom.llm.common import Scratch, ascii_lower
+from spanloom.llm.common import BLANKS, Scratch, ascii_lower
 
 #: Places for words that tell domains apart; of words that share a place the strongest has it.
 PLACES = 1 << 14
+#: A character that is no letter, digit or white space, as far as ASCII goes.
+SYMBOL = r"[!-/:-@\[-`{-~]"
 #: Documents that a word's prior weighs, and the standard deviations within which counts may be chance.
 SMOOTHING, CHANCE = 5.0, 4.0
 
 
 def add_features(rows: DataFrame) -> DataFrame:
     """``n_tokens`` and the distinct ``features`` of ``text``: hashes of its words, without stops at their ends, and symbols."""
-    text = F.coalesce("text", F.lit(""))
-    worded = rows.withColumn("words", F.filter(F.split(text, r"[\x20\x09-\x0D]+", -1), lambda w: w != ""))
-    symbols = F.array_distinct(F.regexp_extract_all(text, F.lit(r"[^\p{L}\p{N}\s]{2,}|\x20[^\p{L}\p{N}\s]\x20"), F.lit(0)))
-    stripped = F.transform("words", lambda w: F.rtrim(w, F.lit(".,;:!?")))
-    features = F.transform(F.concat(stripped, symbols), lambda w: F.xxhash64(ascii_lower(w)))
-    return worded.withColumns({"n_tokens": F.size("words").cast("bigint"), "features": F.array_distinct(features)}).drop("words")
+    lowered = rows.withColumn("lowered", F.btrim(ascii_lower(F.coalesce("text", F.lit(""))), F.lit(BLANKS)))
+    empty = F.array().cast("array<string>")
+    words = F.when(F.col("lowered") == "", empty).otherwise(F.split("lowered", r"[\x20\x09-\x0D]+", -1))
+    symbols = F.array_distinct(F.regexp_extract_all("lowered", F.lit(rf"{SYMBOL}{{2,}}|\x20{SYMBOL}\x20"), F.lit(0)))
+    parted = lowered.withColumns({"words": words, "symbols": symbols})
+    hashes = F.concat(
+        F.transform("words", lambda w: F.xxhash64(F.rtrim(w, F.lit(".,;:!?")))), F.transform("symbols", lambda w: F.xxhash64(w))
+    )
+    told = parted.withColumns({"n_tokens": F.size("words").cast("bigint"), "features": F.array_distinct(hashes)})
+    return told.drop("lowered", "words", "symbols")
 
 
 def evidence(here: int, everywhere: int, prior: float) -> float:
