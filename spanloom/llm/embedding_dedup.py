@@ -4,8 +4,10 @@ Vectors are projected on many fixed random directions. On one direction two vect
 ``least`` or more lie close together, whatever else they are; the spread of that distance is known, so
 windows can be laid out for a wanted recall.
 
-* Bringing together: ``tables`` times, the sorted projections on a few directions are cut into windows at
-  random offsets. Vectors in the same windows of a table meet there; vectors alone in theirs drop out.
+* Bringing together: per table, the projections on a few directions are each cut into windows of equal width
+  at random offsets. Vectors in the same windows of a table meet there; vectors alone in theirs drop out.
+  A larger input needs more cuts per table to keep groups small, and gets as many more tables as keep the
+  wanted recall (``layout``).
 * Counting: of the vectors that meet, each pair's collisions in query-centred windows are counted on
   ``counted`` further directions. Pairs below a count that 99.99 % of true pairs reach are left.
 * Verifying: the cosine of the rest is taken in double precision.
@@ -50,6 +52,20 @@ def pair_spread(least: float, dim: int) -> float:
     return math.sqrt((2 - 2 * least) / dim)
 
 
+def agreement(dim: int) -> float:
+    """Probability that a pair of the wanted cosine lies in the same window of one direction."""
+    # Mean size of one component of a random unit vector, in standard deviations of it.
+    mean = math.exp(math.lgamma(dim / 2) - math.lgamma((dim + 1) / 2)) * math.sqrt(dim / math.pi)
+    return 1 - mean / CUT_WIDTH
+
+
+def layout(vectors: int, dim: int, recall: float, least_tables: int) -> tuple[int, int]:
+    """(tables, cuts per table) so that a pair of the wanted cosine meets in some table with ``recall``."""
+    # More windows per table the more vectors there are, so that groups stay small.
+    cuts = max(6, round(math.log2(max(1, vectors) / 50)))
+    return max(least_tables, math.ceil(math.log(1 - recall) / math.log1p(-(agreement(dim) ** cuts)))), cuts
+
+
 def least_count(counted: int, recall: float = 0.9999) -> int:
     """The most collisions that all but 1 - ``recall`` of true pairs reach on ``counted`` directions."""
     hit, below = math.erf(WINDOW / math.sqrt(2)), 0.0
@@ -137,10 +153,13 @@ def _group_links(least: float, tables: int, cuts: int, counted: int, seed: int):
 
 def near_vectors(
     vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", least: float = 0.95,
-    tables: int = 16, counted: int = 32, seed: int = 11,
+    tables: int = 16, counted: int = 32, seed: int = 11, recall: float = 0.998,
 ) -> DataFrame:
     """Per row: id, n_links, component_id (smallest id reachable, itself included), kept.
 
+    Two vectors of cosine ``least`` meet with probability ``recall`` at least, whatever the number of vectors,
+    and closer ones more often; ``tables`` is the fewest tables taken for that.
+
     Vectors that are null, empty, zero, or hold a null or non-finite component link with nothing, and
     neither do vectors of different dimensions. Rows that are equal in id and vector count once as a link
     but each have a row. A row without an id has no links, a null component, and is kept.
@@ -160,8 +179,8 @@ def near_vectors(
         F.min("id").alias("rep"), F.count("*").alias("weight"), F.first("vector").alias("vector")
     )
     classes = scratch.keep(classes, "classes")
-    # More windows per table the more vectors there are, so that groups stay small.
-    cuts = max(6, round(math.log2(max(1, classes.count()) / 50)))
+    size = classes.agg(F.count("*").alias("n"), F.min(F.size("vector")).alias("dim")).first()
+    tables, cuts = layout(size["n"], size["dim"] or 1, recall, tables)
     made = classes.select("rep", "weight", "vector", "h1", "h2").mapInPandas(
         _window_keys(least, tables, cuts, counted, seed), classes.select("rep", "weight", "vector", "h1", "h2").schema.add("keys", ArrayType(IntegerType()))
     )
@@ -169,6 +188,7 @@ def near_vectors(
     met = keyed.select("rep", "h1", "h2", F.posexplode("keys").alias("table", "key"))
     sizes = met.groupBy("table", "key").agg(F.count("*").alias("size")).filter("size > 1")
     listed = met.join(sizes, ["table", "key"]).join(keyed.select("h1", "h2", "weight", "vector", "keys"), ["h1", "h2"])
+    listed = listed.withColumn("keys", F.slice("keys", 1, F.col("table")))  # of the tables before
     order = ["table", "key", "bi", "bj"]
     dealt = block_pairs(listed, F.col("size"), F.xxhash64("h1", "h2"), BLOCK).select(*order, "side", "rep", "weight", "vector", "keys")
     found = dealt.repartition(*order).sortWithinPartitions(*order).mapInPandas(

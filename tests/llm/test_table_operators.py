@@ -8,6 +8,7 @@ import random
 import zlib
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -241,6 +242,23 @@ def test_recall_of_windows():
     assert embedding_dedup.least_count(32, 0.5) >= embedding_dedup.least_count(32, 0.9999)
 
 
+@pytest.mark.parametrize(("vectors", "cuts"), [(51_282, 10), (1_000_000, 14), (3_000_000, 16)])
+def test_recall_of_vectors_does_not_fall_with_their_number(vectors, cuts):
+    tables, got_cuts = embedding_dedup.layout(vectors, 64, 0.998, 16)
+    assert got_cuts == cuts
+    rng, pairs = np.random.default_rng(cuts), 8000
+    one, other = rng.standard_normal((2, pairs, 64))
+    one /= np.linalg.norm(one, axis=1, keepdims=True)
+    other -= (one * other).sum(axis=1, keepdims=True) * one
+    other /= np.linalg.norm(other, axis=1, keepdims=True)
+    two = 0.95 * one + np.sqrt(1 - 0.95**2) * other
+    keys = []
+    for side in (one, two):
+        made = embedding_dedup._window_keys(0.95, tables, cuts, 32, 11)(iter([pd.DataFrame({"vector": list(side)})]))
+        keys.append(np.stack(next(made)["keys"].to_list()))
+    assert (keys[0] == keys[1]).any(axis=1).mean() >= 0.9965
+
+
 # ---- Archives -------------------------------------------------------------------------------------------------
 
 
