@@ -201,6 +201,24 @@ def test_main_text(spark):
     assert html_extract.extract_text(pages.limit(0)).count() == 0
 
 
+def seen(pages):
+    """The evidence of pages that are all different, with the first as reference."""
+    gathered = {}
+    for page_ in pages:
+        for node, same, *sizes in html_extract.evidence(page_, pages[0]):
+            gathered.setdefault(node, []).append((1, int(same), *sizes))
+    return tuple((node, *map(sum, zip(*rows, strict=True))) for node, rows in sorted(gathered.items()))
+
+
+def test_a_page_without_the_usual_text_keeps_its_own():
+    for tag, n in (("article", 40), ("div", 10)):
+        usual = [f"<body><{tag}><p>By the editors</p><p>First of {i}</p><p>Second of {i}</p></{tag}>" for i in range(n)]
+        other = f"<body><{tag}><p>First of all</p><p>Second of all</p></{tag}>"
+        stats = seen([*usual, other])
+        assert html_extract.main_text(usual[3], usual[0], stats) == "First of 3\nSecond of 3"
+        assert html_extract.main_text(other, usual[0], stats) == "First of all\nSecond of all"
+
+
 def test_simple_tree_matching_counts_the_most_matches():
     def tree(spec):
         node = html_extract.Node(spec[0], spec[0], False)
