@@ -219,6 +219,18 @@ def test_a_page_without_the_usual_text_keeps_its_own():
         assert html_extract.main_text(other, usual[0], stats) == "First of all\nSecond of all"
 
 
+def test_all_varying_text_is_content():
+    def plain(i):
+        column = f"<div class=text><p>Long story {i} {'on ' * 60}</p></div><div class=more><p>Second column {i}</p></div>"
+        return f"<body><div class=top>Our site</div><div class=page><h1>Title {i}</h1>{column}</div><div class=end>All rights</div>"
+
+    usual = [plain(i) for i in range(10)]
+    other = "<body><div class=top>Our site</div><table><tr><td>Another template's story</table><div class=end>All rights</div>"
+    stats = seen([*usual, other])
+    assert html_extract.main_text(usual[4], usual[0], stats) == f"Title 4\nLong story 4 {'on ' * 60}".strip() + "\nSecond column 4"
+    assert html_extract.main_text(other, usual[0], stats) == "Another template's story"
+
+
 def test_simple_tree_matching_counts_the_most_matches():
     def tree(spec):
         node = html_extract.Node(spec[0], spec[0], False)
