@@ -231,6 +231,17 @@ def test_all_varying_text_is_content():
     assert html_extract.main_text(other, usual[0], stats) == "Another template's story"
 
 
+@pytest.mark.parametrize("deep", ["<div>" * 100, "<div>" + "<b>" * 100, "<div>" * 20_000])
+def test_blocks_stay_blocks_at_any_depth(deep):
+    def nested(i):
+        return f"<body>{deep}<p>One {i}</p><nav>Menu {i}</nav><p>Two {i}</p><!-- x --><footer>Foot {i}</footer><div class=ad>Buy {i}</div>"
+
+    pages = [nested(i) for i in range(5)]
+    assert html_extract.main_text(pages[2], pages[0], seen(pages)) == "One 2\nTwo 2"
+    article = pages[1].replace("<body>", "<body><article>")
+    assert html_extract.main_text(article, None, ()) == "One 1\nTwo 1"
+
+
 def test_simple_tree_matching_counts_the_most_matches():
     def tree(spec):
         node = html_extract.Node(spec[0], spec[0], False)
