@@ -15,7 +15,7 @@ from spanloom.llm import line_dedup, minhash_dedup, packing, quality_rules, sour
 from spanloom.llm.common import Scratch, ready, table
 from spanloom.llm.queries import domain_labels, vocabulary
 
-#: Shares of tokens after mixing. Clean documents come once each; toxic ones are thinned out.
+#: Shares of tokens after mixing, of the total in which clean tokens come once on average.
 SHARES = {"clean": 0.99, "toxic": 0.01}
 
 
@@ -41,9 +41,9 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows as often as the mixture's rates say; rates near a whole number are that number."""
+    """Rows as often as the mixture's rates say, on average."""
     labels = domain_labels(table(spark, sf_dir, "labels"))
-    return source_mixing.mixed(docs, labels, SHARES, anchor="clean", snap=0.25)
+    return source_mixing.mixed(docs, labels, SHARES, anchor="clean")
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -243,12 +243,13 @@ def document_rates(
 
 def mixed(
     docs: DataFrame, labels: DataFrame, targets: dict[str, float], id_col: str = "doc_id", text_col: str = "text",
-    snap: float = 0.05, **options,
+    snap: float = 1e-6, **options,
 ) -> DataFrame:
     """``docs`` with each row as often as its rate says, columns unchanged.
 
-    Rates within ``snap`` of a whole number are taken as that number, others are rounded up or down by a
-    hash of the text, so that the expected number of copies is the rate.
+    Rates are rounded up or down by a hash of the text and id, so that the expected number of copies is the
+    rate. Those within ``snap`` of a whole number are taken as that number; more than the noise of sums
+    there makes totals miss their targets.
     """
     mixture, _ = fit_mixture(docs, labels, targets, id_col, text_col, **options)
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])

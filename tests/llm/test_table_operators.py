@@ -12,6 +12,8 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
+
 from spanloom.llm import embedding_dedup, html_extract, packing, source_mixing, url_filters, warc
 from spanloom.llm.common import Scratch, sorted_groups
 
@@ -104,6 +106,23 @@ def test_mixed_rows(spark):
     assert source_mixing.mixed(docs, labels.limit(0), {"clean": 1.0}).count() == len(rows)
 
 
+def test_the_mixing_stage_meets_its_shares(spark, tmp_path):
+    rows, docs, _ = labelled(spark, 4000)
+    marks = [(i, int(i % 4 == 0), 1) for i in range(4000) if i % 3]
+    spark.createDataFrame(marks, "doc_id bigint, toxic int, quality int").write.parquet(str(tmp_path / "labels.parquet"))
+    left = collections.Counter(r.doc_id for r in corpus_pipeline.mixing_stage(spark, docs, str(tmp_path)).collect())
+    labels = corpus_pipeline.domain_labels(spark.read.parquet(str(tmp_path / "labels.parquet")))
+    got = source_mixing.document_rates(docs, labels, corpus_pipeline.SHARES, anchor="clean").filter("doc_id < 4000 AND doc_id != 1").collect()
+    tokens = np.array([[r.n_tokens * r.p_clean, r.n_tokens * r.p_toxic] for r in got])
+    copies, rates = np.array([left[r.doc_id] for r in got]), np.array([r.rate for r in got])
+    toxic = np.array([r.doc_id % 4 == 0 for r in got])
+    wanted, reached = rates @ tokens, copies @ tokens
+    assert reached[0] == pytest.approx(wanted[0], rel=0.01)
+    assert wanted[1] / wanted.sum() == pytest.approx(corpus_pipeline.SHARES["toxic"], rel=0.05)
+    assert reached[1] == pytest.approx(wanted[1], rel=0.25)
+    assert copies[toxic].sum() > 0.5 * rates[toxic].sum() > 0
+
+
 # ---- Packing --------------------------------------------------------------------------------------------
 
 
