@@ -11,6 +11,7 @@ from spanloom.llm import (
     line_dedup,
     minhash_dedup,
     packing,
+    periodic_runs,
     quality_rules,
     secret_scan,
     source_mixing,
@@ -90,6 +91,40 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+#: The characters that words are made of, and what parts of the texts the run query makes periodic.
+WORDS = r"[^\x20\x09-\x0D]+"
+
+
+def with_periods(docs: DataFrame) -> DataFrame:
+    """``docs`` with one text in ten, chosen by the checksum of its id, periodic from some word on."""
+    h = F.crc32(F.col("doc_id").cast("string"))
+    g = F.floor(h / 10)
+    rows = docs.select("doc_id", "text", F.when(h % 10 == 0, F.regexp_extract_all("text", F.lit(WORDS), F.lit(0))).alias("words"), g.alias("g"))
+    rows = rows.withColumn("n", F.size("words"))
+    rows = rows.withColumn("a", F.when(F.col("n") > 0, F.col("g") % F.col("n")))
+    rows = rows.withColumn("p", 1 + F.floor((F.col("n") - F.col("a")) / (3 + F.col("g") % 8)))
+    source = F.transform(F.sequence(F.col("a"), F.col("n") - 1), lambda i: F.col("a") + (i - F.col("a")) % F.col("p"))
+    rows = rows.withColumn("source", F.when(F.col("n") > 0, source))
+    again = F.transform("source", lambda i: F.get("words", i.cast("int")))
+    told = F.array_join(F.concat(F.slice("words", F.lit(1), F.col("a").cast("int")), again), " ")
+    return rows.select("doc_id", F.when(F.col("n") > 0, told).otherwise(F.col("text")).alias("text"))
+
+
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = with_periods(table(ready(spark), sf_dir, "documents"))
+    runs = periodic_runs.find_runs(docs, min_words=12)
+    longest = F.array_max(F.transform("runs", lambda r: F.struct(r["length"].alias("length"), (-r["start"]).alias("start"), (-r["period"]).alias("period"))))
+    lines = F.transform("runs", lambda r: F.concat_ws(",", *[r[c].cast("string") for c in ("start", "length", "period")]))
+    listed = F.when(F.size("runs") > 0, F.concat(F.array_join(lines, "\n"), F.lit("\n"))).otherwise("")
+    return runs.select(
+        "doc_id", "n_words", F.size("runs").cast("bigint").alias("n_runs"), longest.alias("longest"),
+        F.sha2(listed, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    ).select(
+        "doc_id", "n_words", "n_runs", (-F.col("longest.start")).alias("start"), "longest.length", (-F.col("longest.period")).alias("period"),
+        F.expr("1000 * longest.length div -longest.period").alias("exponent_milli"), "runs_sha256", "collapsed_sha256",
+    )
+
+
 def queries() -> dict:
     return {name: f for name, f in globals().items() if name.startswith("op")}
 

@@ -129,3 +129,57 @@ SELECT page_id, any_value(host) AS host, any_value(path) AS path,
 FROM parts LEFT JOIN rules ON (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path)
 GROUP BY page_id
 """
+
+SQL["op11_periodic_runs"] = r"""
+WITH crc_table AS (
+    SELECT list_transform(range(256), lambda n: list_reduce(
+        list_prepend(n::UBIGINT, list_transform(range(8), lambda k: 0::UBIGINT)),
+        lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384::UBIGINT) ELSE c // 2 END)) AS t
+),
+hashed AS (
+    SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words,
+        xor(list_reduce(
+            list_prepend(4294967295::UBIGINT, list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ascii(c)::UBIGINT)),
+            lambda crc, c: xor(crc // 256, t[(xor(crc, c) % 256)::INT + 1])), 4294967295::UBIGINT)::BIGINT AS h
+    FROM documents, crc_table
+),
+placed AS (SELECT *, len(words) AS n, h // 10 AS g, (h // 10) % nullif(len(words), 0) AS a FROM hashed),
+spaced AS (SELECT *, 1 + (n - a) // (3 + g % 8) AS p FROM placed),
+texts AS (
+    SELECT doc_id, n, CASE WHEN h % 10 = 0 AND n > 0
+        THEN list_transform(range(n), lambda i: words[CASE WHEN i < a THEN i ELSE a + (i - a) % p END + 1]) ELSE words END AS words
+    FROM spaced
+),
+word_rows AS (SELECT doc_id, unnest(words) AS w, generate_subscripts(words, 1) - 1 AS i FROM texts),
+-- A run of period q has at least max(12 - q, q) places whose word comes again q words later. Each such stretch holds
+-- a window of six words that comes again q words later.
+sixes AS (
+    SELECT *, lead(w, 1) OVER o AS w1, lead(w, 2) OVER o AS w2, lead(w, 3) OVER o AS w3, lead(w, 4) OVER o AS w4, lead(w, 5) OVER o AS w5
+    FROM word_rows WINDOW o AS (PARTITION BY doc_id ORDER BY i)
+),
+starts AS (
+    SELECT a.doc_id, a.i, b.i - a.i AS q FROM sixes a JOIN sixes b
+        ON a.doc_id = b.doc_id AND a.w = b.w AND a.w1 = b.w1 AND a.w2 = b.w2 AND a.w3 = b.w3 AND a.w4 = b.w4 AND a.w5 = b.w5 AND a.i < b.i
+),
+islands AS (
+    SELECT doc_id, q, i, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS island FROM starts
+),
+stretches AS (
+    SELECT doc_id, q, min(i) AS first, count(*) + 5 + q AS length FROM islands GROUP BY doc_id, q, island HAVING count(*) + 5 >= q AND count(*) + 5 + q >= 12
+),
+runs AS (SELECT doc_id, first, length, min(q) AS period FROM stretches GROUP BY doc_id, first, length),
+covered AS (SELECT DISTINCT doc_id, unnest(range(first + period, first + length)) AS i FROM runs),
+collapsed AS (
+    SELECT t.doc_id, string_agg(t.w, ' ' ORDER BY t.i) AS left_text FROM word_rows t LEFT JOIN covered c ON t.doc_id = c.doc_id AND t.i = c.i
+    WHERE c.i IS NULL GROUP BY t.doc_id
+),
+listed AS (
+    SELECT doc_id, count(*) AS n_runs, string_agg(first || ',' || length || ',' || period || chr(10), '' ORDER BY first, period) AS lines,
+        first(first ORDER BY length DESC, first, period) AS start, first(period ORDER BY length DESC, first, period) AS period, max(length) AS length
+    FROM runs GROUP BY doc_id
+)
+SELECT t.doc_id, t.n AS n_words, coalesce(l.n_runs, 0) AS n_runs, l.start::BIGINT AS start, l.length::BIGINT AS length, l.period::BIGINT AS period,
+    (1000 * l.length // l.period)::BIGINT AS exponent_milli,
+    sha256(coalesce(l.lines, '')) AS runs_sha256, sha256(coalesce(c.left_text, '')) AS collapsed_sha256
+FROM texts t LEFT JOIN listed l USING (doc_id) LEFT JOIN collapsed c USING (doc_id)
+"""
