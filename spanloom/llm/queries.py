@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from spanloom.llm import (
     embedding_dedup,
+    hard_negatives,
     html_extract,
     line_dedup,
     minhash_dedup,
@@ -125,6 +126,12 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(ready(spark), sf_dir, "embeddings").select("vec_id", "embedding", F.col("label").cast("bigint").alias("label"))
+    rows = rows.withColumn("label", F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")))
+    return hard_negatives.mine(rows, F.col("vec_id") % 100 == 0)
+
+
 def queries() -> dict:
     return {name: f for name, f in globals().items() if name.startswith("op")}
 

@@ -183,3 +183,24 @@ SELECT t.doc_id, t.n AS n_words, coalesce(l.n_runs, 0) AS n_runs, l.start::BIGIN
     sha256(coalesce(l.lines, '')) AS runs_sha256, sha256(coalesce(c.left_text, '')) AS collapsed_sha256
 FROM texts t LEFT JOIN listed l USING (doc_id) LEFT JOIN collapsed c USING (doc_id)
 """
+
+SQL["op13_hard_negatives"] = r"""
+WITH usable AS (
+    SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+        list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
+    FROM embeddings
+    WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+),
+scored AS (
+    SELECT a.vec_id AS anchor_id, b.vec_id AS other_id, a.label = b.label AS same, list_dot_product(a.v, b.v)::BIGINT AS score
+    FROM usable a JOIN usable b ON a.vec_id <> b.vec_id AND len(a.v) = len(b.v) WHERE a.vec_id % 100 = 0
+),
+positives AS (
+    SELECT * FROM scored WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other_id) <= 5
+)
+SELECT p.anchor_id, p.other_id AS positive_id, row_number() OVER w AS rank, n.other_id AS negative_id,
+    p.score AS positive_score, n.score AS negative_score
+FROM positives p JOIN scored n ON p.anchor_id = n.anchor_id AND NOT n.same AND 80 * p.score <= 100 * n.score AND 100 * n.score <= 100 * p.score
+WINDOW w AS (PARTITION BY p.anchor_id, p.other_id ORDER BY n.score DESC, n.other_id)
+QUALIFY row_number() OVER w <= 5
+"""

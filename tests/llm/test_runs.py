@@ -70,12 +70,12 @@ def test_long_texts_take_no_quadratic_time():
 
 def test_odd_rows(spark):
     again = "one two three four " * 5
-    rows = [(1, again, "x"), (1, again, "x"), (2, None, "x"), (3, "", "x"), (4, " \t\n", None), (None, "a " * 12, "y"), (5, "a b c " * 11, "y")]
+    rows = [(1, again, "x"), (1, again, "x"), (2, None, "x"), (3, "", "x"), (4, " \t\n", None), (None, "a " * 12, "y"), (5, "a\u00a0b c " * 11, "y")]
     docs = spark.createDataFrame(rows, "doc_id bigint, text string, runs string")
     got = sorted(periodic_runs.find_runs(docs).collect(), key=lambda r: (r.doc_id is None, r.doc_id))
     assert [(r.doc_id, r.n_words, [tuple(x) for x in r.runs], r.collapsed) for r in got] == [
         (1, 20, [(0, 20, 4)], "one two three four"), (1, 20, [(0, 20, 4)], "one two three four"),
-        (2, 0, [], ""), (3, 0, [], ""), (4, 0, [], ""), (5, 22, [(0, 22, 2)], "a b c"), (None, 12, [(0, 12, 1)], "a"),
+        (2, 0, [], ""), (3, 0, [], ""), (4, 0, [], ""), (5, 22, [(0, 22, 2)], "a\u00a0b c"), (None, 12, [(0, 12, 1)], "a"),
     ]
     assert periodic_runs.find_runs(docs.limit(0)).count() == 0
     with pytest.raises(ValueError):
