@@ -9,6 +9,7 @@ from spanloom.llm import (
     embedding_dedup,
     hard_negatives,
     html_extract,
+    license_scan,
     line_dedup,
     minhash_dedup,
     packing,
@@ -126,6 +127,11 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = license_scan.scan_licenses(table(ready(spark), sf_dir, "documents"))
+    return found.withColumns({c: F.array_join(c, ",") for c in ("base_labels", "labels")})
+
+
 def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(ready(spark), sf_dir, "embeddings").select("vec_id", "embedding", F.col("label").cast("bigint").alias("label"))
     rows = rows.withColumn("label", F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")))

@@ -204,3 +204,76 @@ FROM positives p JOIN scored n ON p.anchor_id = n.anchor_id AND NOT n.same AND 8
 WINDOW w AS (PARTITION BY p.anchor_id, p.other_id ORDER BY n.score DESC, n.other_id)
 QUALIFY row_number() OVER w <= 5
 """
+
+
+def _license_sql() -> str:
+    """The templates are given as rows; all else is stated anew."""
+    from spanloom.llm.license_scan import BASE, NOTICES
+
+    templates, keys = [], []
+    for t, template in enumerate((*BASE, *NOTICES)):
+        templates.append(f"({t}, '{template.label}', {template.base}, '{template.notice}', {template.slack}, {len(template.keys)})")
+        keys += [f"({t}, {k}, {begin}, '{' '.join(own)}')" for k, (begin, own) in enumerate(template.key_places())]
+    return rf"""
+WITH templates(t, label, base, notice, slack, n_keys) AS (VALUES {", ".join(templates)}),
+keys(t, k, b, phrase) AS (VALUES {", ".join(keys)}),
+texts AS (
+    SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words
+    FROM documents
+),
+template_words AS (
+    SELECT t, unnest(string_split(notice, ' ')) AS w, generate_subscripts(string_split(notice, ' '), 1) - 1 AS o FROM templates
+),
+vocabulary AS (SELECT DISTINCT w FROM template_words),
+held AS (SELECT doc_id, unnest(list_distinct(words)) AS w FROM texts),
+idf AS (
+    SELECT v.w, length(bin(((SELECT count(*) FROM documents) + 1) // (count(h.w) + 1))) AS weight
+    FROM vocabulary v LEFT JOIN held h ON v.w = h.w GROUP BY v.w
+),
+weighted AS (SELECT t, w, o, weight FROM template_words JOIN idf USING (w)),
+anchors AS (
+    SELECT t, w, o, weight FROM weighted JOIN keys USING (t) WHERE o >= b AND o < b + len(string_split(phrase, ' '))
+    QUALIFY row_number() OVER (PARTITION BY t, k ORDER BY weight DESC, o) = 1
+),
+indexed AS (
+    SELECT * FROM (SELECT t, w, o, weight FROM weighted QUALIFY row_number() OVER (PARTITION BY t ORDER BY weight DESC, o) <= 8)
+    UNION SELECT * FROM anchors
+),
+totals AS (SELECT t, sum(weight) AS total FROM indexed GROUP BY t),
+word_rows AS (
+    SELECT doc_id, unnest(words) AS w, generate_subscripts(words, 1) - 1 AS i FROM texts
+),
+begins AS (
+    SELECT r.doc_id, t, k, i AS begin, i - b AS place
+    FROM word_rows r JOIN keys ON r.w = string_split(phrase, ' ')[1] JOIN texts x ON r.doc_id = x.doc_id
+    WHERE array_to_string(x.words[i + 1 : i + len(string_split(phrase, ' '))], ' ') = phrase
+),
+confirmed AS (
+    SELECT c.doc_id, t, c.place
+    FROM (SELECT DISTINCT doc_id, t, place FROM begins WHERE k = 0) c JOIN templates USING (t) JOIN begins b USING (doc_id, t)
+    WHERE abs(b.place - c.place) <= slack GROUP BY c.doc_id, t, c.place, n_keys HAVING count(DISTINCT k) = n_keys
+),
+matched AS (
+    SELECT DISTINCT c.doc_id, t, c.place, x.o, x.weight
+    FROM confirmed c JOIN templates USING (t) JOIN indexed x USING (t) JOIN word_rows r ON r.doc_id = c.doc_id AND r.w = x.w
+    WHERE abs(r.i - x.o - c.place) <= slack
+),
+scored AS (
+    SELECT doc_id, t, sum(weight)::DOUBLE / any_value(total) AS score FROM matched JOIN totals USING (t) GROUP BY doc_id, t, place
+),
+told AS (
+    SELECT doc_id, max(score) AS score, string_agg(DISTINCT label, ',' ORDER BY label) AS labels,
+        string_agg(DISTINCT label, ',' ORDER BY label) FILTER (WHERE base) AS base_labels
+    FROM scored JOIN templates USING (t) GROUP BY doc_id
+),
+places AS (
+    SELECT doc_id, count(*) AS n_base, min(begin) AS first_word, max(begin) AS last_word FROM begins JOIN templates USING (t) WHERE base GROUP BY doc_id
+)
+SELECT doc_id, len(words)::BIGINT AS n_words, coalesce(n_base, 0) AS n_base, first_word::BIGINT AS first_word, last_word::BIGINT AS last_word,
+    coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, coalesce(score, 0) AS score
+FROM texts LEFT JOIN told USING (doc_id) LEFT JOIN places USING (doc_id)
+"""
+
+
+SQL["op12_license_scan"] = _license_sql()
