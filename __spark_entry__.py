@@ -16,7 +16,8 @@ from pyspark.sql import functions as F  # noqa: E402
 
 import oracle_queries  # noqa: E402
 from spanloom.functions import bodies, intent, labels, outcome, paths, text  # noqa: E402
-from spanloom.operators.climb import ancestors, nearest_stop, reach  # noqa: E402
+from spanloom.operators.climb import nearest_stop, reach  # noqa: E402
+from spanloom.operators.nesting import inside  # noqa: E402
 from spanloom.operators.ordered import after, position, scan  # noqa: E402
 from spanloom.operators.stab import best_covering, latest_ended  # noqa: E402
 from spanloom.plans import adapters as ad  # noqa: E402
@@ -311,12 +312,13 @@ def tools_with_causes(spark, sf):
 
 def causal_reach(spark, sf):
     """Everything upstream of the last step of each interaction."""
-    _, nodes, cold, edges = _edges(spark, sf)
-    last = nodes.groupBy("interaction_id").agg(
+    members, nodes, cold, fresh, rows = _layers(spark, sf)
+    edges = graph.owned_edges(members, nodes, rows, fresh, cold)
+    last = nodes.groupBy(F.col("interaction_id").alias("owner")).agg(
         F.max_by("id", F.struct("start_time_ns", "id")).alias("seed")
     )
-    up = edges.select(F.col("to_id").alias("src"), F.col("from_id").alias("dst"))
-    return reach(up, last.select("seed"))
+    up = edges.select("owner", F.col("to_id").alias("src"), F.col("from_id").alias("dst"))
+    return reach(up, last, "owner", cold)
 
 
 def root_closure(spark, sf):
@@ -328,9 +330,7 @@ def root_closure(spark, sf):
 def subtree(spark, sf):
     """Every node with everything it contains."""
     nodes, _ = _stored_nodes(spark, sf)
-    return ancestors(nodes, "id", "parent", nodes).select(
-        F.col("id").alias("root"), F.col("seed").alias("id"), "depth"
-    )
+    return inside(an.nesting(nodes), "id").select(F.col("above").alias("root"), "id", F.col("levels").alias("depth"))
 
 
 def ancestor_path(spark, sf):

@@ -6,10 +6,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spanloom.functions import labels
-from spanloom.operators.climb import ancestors
+from spanloom.operators.nesting import first_inside, inside, nested_intervals
 from spanloom.operators.ordered import running_sum, scan, upcoming
 from spanloom.plans.columns import MAIN_THREAD, SORT_RANK
 from spanloom.plans.graph import gap_ms
+from spanloom.runtime import settle
 
 Tables = dict[str, DataFrame]
 
@@ -293,19 +294,20 @@ def main_thread_longest(t: Tables) -> DataFrame:
     )
 
 
+def nesting(nodes: DataFrame, cold: bool | None = None) -> DataFrame:
+    """``(id, root, depth, enter, leave)``: who contains whom, siblings in time order."""
+    ranked = nodes.select("interaction_id", "id", "parent", "start_time_ns", F.expr(SORT_RANK).alias("rank"))
+    return settle(nested_intervals(ranked, "id", "parent", ["start_time_ns", "rank"], cold, scope="interaction_id"))
+
+
 def hidden_subcalls(t: Tables) -> DataFrame:
     """First weak-model inference inside each tool, depth first."""
     nodes = t["nodes"]
     weak = nodes.filter(F.col("type") == "llm_request").filter(F.col("model").rlike(WEAK_MODEL))
-    mark = F.struct("start_time_ns", F.expr(SORT_RANK).alias("rank"), "id")
-    above = ancestors(nodes, "id", "parent", weak, mark)
-    tools = nodes.filter("type = 'tool'").select("id")
+    found = first_inside(nesting(nodes), "id", nodes.filter("type = 'tool'"), weak)
     return (
-        above.join(tools, "id", "left_semi")
-        .groupBy(F.col("id").alias("tool_id"))
-        .agg(F.min_by("seed", "trail").alias("id"))
-        .join(nodes.select("id", "model", "duration_ms"), "id")
-        .select("tool_id", F.col("id").alias("subcall_id"), "model", "duration_ms")
+        found.join(nodes.select("id", "model", "duration_ms"), "id")
+        .select(F.col("above").alias("tool_id"), F.col("id").alias("subcall_id"), "model", "duration_ms")
     )
 
 
@@ -344,14 +346,13 @@ def ancestor_paths(t: Tables, seeds: DataFrame | None = None) -> DataFrame:
     nodes = t["nodes"]
     wanted = nodes.select("id") if seeds is None else seeds.select("id")
     own = wanted.join(nodes.select("id", "session_id"), "id")
-    above = ancestors(nodes, "id", "parent", wanted).select(
-        F.col("seed").alias("id"), F.col("depth").alias("level"), F.lit("node").alias("kind"),
-        F.col("id").alias("step_id"),
-    )
+    nested = nesting(nodes)
+    pairs = inside(nested, "id") if seeds is None else inside(nested, "id").join(wanted, "id", "left_semi")
+    above = pairs.select("id", F.col("levels").cast("int").alias("level"), F.lit("node").alias("kind"), F.col("above").alias("step_id"))
     itself = wanted.select(
         "id", F.lit(0).alias("level"), F.lit("node").alias("kind"), F.col("id").alias("step_id")
     )
-    height = above.groupBy("id").agg(F.max("level").alias("top"))
+    height = nested.select("id", F.col("depth").cast("int").alias("top"))
     ends = (
         own.join(height, "id", "left")
         .join(t["sessions"].select(F.col("id").alias("session_id"), "agent_id"), "session_id",

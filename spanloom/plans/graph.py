@@ -318,6 +318,17 @@ def causal_edges(
     cold: bool | None = None,
 ) -> DataFrame:
     """What triggered each step: ``(from_id, to_id, gap_ms)``."""
+    return owned_edges(members, nodes, delta_rows, fresh, cold).drop("owner")
+
+
+def owned_edges(
+    members: DataFrame,
+    nodes: DataFrame,
+    delta_rows: DataFrame,
+    fresh: DataFrame,
+    cold: bool | None = None,
+) -> DataFrame:
+    """``causal_edges`` with the interaction that both ends lie in, as ``owner``."""
     taking_part = scan(
         participants(members, nodes),
         ["owner", "lane", "group"],
@@ -395,6 +406,7 @@ def causal_edges(
         .filter("cause is not null")
     )
     return edges.select(
+        "owner",
         F.col("cause.id").alias("from_id"),
         F.col("id").alias("to_id"),
         gap_ms(

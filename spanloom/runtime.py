@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 _own_dir: list[str] = []
 
@@ -75,6 +76,13 @@ def settle(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def settle_counting(df: DataFrame, counted: Column) -> tuple[DataFrame, int]:
+    """``settle``, and the number of its rows that satisfy ``counted``, found while they are written."""
+    seen = Observation()
+    settled = settle(df.observe(seen, F.count_if(counted).alias("n")))
+    return settled, seen.get["n"]
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Use all cores on input of fewer partitions than cores; larger input is left alone."""
     cores = df.sparkSession.sparkContext.defaultParallelism
