@@ -23,6 +23,7 @@ from spanloom.operators.stab import best_covering, latest_ended  # noqa: E402
 from spanloom.plans import adapters as ad  # noqa: E402
 from spanloom.plans import analyses as an  # noqa: E402
 from spanloom.plans import chat, graph, otel, outcomes, semantics, tables, workbench  # noqa: E402
+from spanloom.plans.digest import digest  # noqa: E402
 from spanloom.runtime import prepare, settle  # noqa: E402
 from spanloom.sources import chatlog, files  # noqa: E402
 from spanloom.sources import otel as otel_source  # noqa: E402
@@ -82,14 +83,13 @@ def _members(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, bool]:
 
 def _layers(spark: SparkSession, sf: str):
     members, nodes, cold = _members(spark, sf)
-    fresh = settle(graph.delta_messages(members, nodes))
-    rows = settle(graph.deltas(members, nodes, fresh))
-    return members, nodes, cold, fresh, rows
+    digests = settle(digest(nodes))
+    return members, nodes, cold, settle(graph.delta_positions(members, digests, cold)), digests
 
 
 def _edges(spark: SparkSession, sf: str):
-    members, nodes, cold, fresh, rows = _layers(spark, sf)
-    return members, nodes, cold, settle(graph.causal_edges(members, nodes, rows, fresh, cold))
+    members, nodes, cold, fresh, digests = _layers(spark, sf)
+    return members, nodes, cold, settle(graph.causal_edges(members, nodes, digests, fresh, cold))
 
 
 def _graph_tables(spark: SparkSession, sf: str) -> dict[str, DataFrame]:
@@ -272,8 +272,8 @@ def first_seen_delta(spark, sf):
 
 def message_deltas(spark, sf):
     """The deltas table."""
-    *_, rows = _layers(spark, sf)
-    return tables.deltas_table(rows)
+    members, nodes, _, fresh, _ = _layers(spark, sf)
+    return tables.deltas_table(graph.deltas(members, nodes, fresh))
 
 
 def causal_edges(spark, sf):
@@ -312,8 +312,8 @@ def tools_with_causes(spark, sf):
 
 def causal_reach(spark, sf):
     """Everything upstream of the last step of each interaction."""
-    members, nodes, cold, fresh, rows = _layers(spark, sf)
-    edges = graph.owned_edges(members, nodes, rows, fresh, cold)
+    members, nodes, cold, fresh, digests = _layers(spark, sf)
+    edges = graph.owned_edges(members, nodes, digests, fresh, cold)
     last = nodes.groupBy(F.col("interaction_id").alias("owner")).agg(
         F.max_by("id", F.struct("start_time_ns", "id")).alias("seed")
     )
@@ -381,8 +381,8 @@ def tool_semantics(spark, sf):
 
 
 def inference_semantics(spark, sf):
-    _, nodes, _, _, rows = _layers(spark, sf)
-    seeds = semantics.inference_entries(nodes, rows)
+    members, nodes, _, fresh, _ = _layers(spark, sf)
+    seeds = semantics.inference_entries(nodes, graph.deltas(members, nodes, fresh))
     return semantics.ground(semantics.label_entries(seeds), graph.session_facts(nodes))
 
 
@@ -392,10 +392,10 @@ def node_context(spark, sf):
 
 def resolve_node(spark, sf):
     """Every node with its delta and entries, as sizes."""
-    _, nodes, cold, _, rows = _layers(spark, sf)
+    members, nodes, cold, fresh, _ = _layers(spark, sf)
     relations = {
         "nodes": graph.with_seq(nodes, cold).select("id", "type", "seq"),
-        "deltas": tables.deltas_table(rows),
+        "deltas": tables.deltas_table(graph.deltas(members, nodes, fresh)),
         "semantics": ad.event_semantics(nodes),
     }
     return workbench.resolved(relations).select(

@@ -448,9 +448,9 @@ SQL = {
       SELECT CAST(arg_min(user_id, (session_id, s, id)) AS VARCHAR) AS u FROM nodes WHERE type = 'interaction')""",
     "dedupe_nodes": f"WITH {NODES} SELECT id, session_id, tokens_out FROM nodes",
     "tool_outcomes": f"""WITH {NODES},
-      r0 AS (SELECT session_id, id, k + 2 AS k, 1 AS idx FROM nodes WHERE type = 'llm_request'
-        UNION ALL SELECT session_id, id, k + 3, 2 FROM nodes WHERE type = 'llm_request'),
-      res AS (SELECT session_id, 'tu' || CAST(k % 3 AS VARCHAR) AS use_id, arg_max(k, (id, idx)) AS k FROM r0
+      r0 AS (SELECT session_id, s, id, k + 2 AS k, 1 AS idx FROM nodes WHERE type = 'llm_request'
+        UNION ALL SELECT session_id, s, id, k + 3, 2 FROM nodes WHERE type = 'llm_request'),
+      res AS (SELECT session_id, 'tu' || CAST(k % 3 AS VARCHAR) AS use_id, arg_max(k, (s, id, idx)) AS k FROM r0
         GROUP BY session_id, 'tu' || CAST(k % 3 AS VARCHAR))
       SELECT t.id, CASE WHEN r.k IS NULL THEN NULL ELSE r.k % 5 <> 4 END AS is_error,
         CASE WHEN r.k % 5 <> 4 THEN (['not_found', 'permission', 'timeout', 'nonzero_exit'])[CAST(r.k % 5 AS INT) + 1] END AS error_kind,

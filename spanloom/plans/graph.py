@@ -4,16 +4,14 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from spanloom.functions import messages
 from spanloom.operators.climb import nearest_stop
 from spanloom.operators.ordered import before, has_hot_group, latest, position, scan
 from spanloom.operators.stab import nearest_interval
 from spanloom.plans.columns import MAIN_THREAD, PSEUDO_USER, SORT_RANK
+from spanloom.plans.digest import digest, fingerprint
 from spanloom.runtime import settle
 
 # ---- One row per id, owners, dimensions ------------------------------------------------------
@@ -165,93 +163,57 @@ def lane_order(members: DataFrame) -> DataFrame:
 # ---- Message deltas --------------------------------------------------------------------------
 
 
-def _without_cache_control(messages_json: Column) -> Column:
-    # Everything the function needs is inside it, so workers need not import this package.
-    def drop(texts: pd.Series) -> pd.Series:
-        import json
-        import re
-
-        token = re.compile(r'"(?:\\.|[^"\\])*"', re.S)
-        decoder = json.JSONDecoder()
-
-        def strip(raw):
-            """Cut the members out and leave every other character as it is."""
-            if raw is None:
-                return None
-            kept, at = "", 0
-            while True:
-                m = next(
-                    (
-                        t
-                        for t in token.finditer(raw, at)
-                        if t.group() == '"cache_control"' and raw[t.end() :].lstrip()[:1] == ":"
-                    ),
-                    None,
-                )
-                if m is None:
-                    return kept + raw[at:]
-                head, start = (kept + raw[at : m.start()]).rstrip(), raw.index(":", m.end()) + 1
-                start += len(raw[start:]) - len(raw[start:].lstrip())
-                at = decoder.raw_decode(raw, start)[1]
-                tail = raw[at:].lstrip()
-                if head.endswith(","):
-                    head = head[:-1]
-                elif tail.startswith(","):
-                    at = raw.index(",", at) + 1
-                kept = head
-
-        return texts.map(strip)
-
-    return F.pandas_udf(drop, T.StringType())(messages_json)
-
-
-def message_key(message: Column) -> Column:
-    """Identity of a message, which ignores ``cache_control`` at any depth.
-
-    Only messages that mention the key take the Python step.
-    """
-    marked = F.when(message.contains('"cache_control"'), message)
-    return F.sha2(F.coalesce(_without_cache_control(marked), message), 256)
-
+def delta_positions(members: DataFrame, digests: DataFrame, cold: bool | None = None) -> DataFrame:
+    """Which messages each inference of a lane sends first: ``(id, at)``; no text is moved.
 
-def delta_messages(members: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Messages first sent by each inference of a lane: ``(id, at, message)``."""
+    A request that begins with the whole request before it (told by the fingerprint of its keys) sends on only
+    what comes after, so a conversation costs rows with its length, not with its square. Any other
+    message that was sent before is found among the keys that are left.
+    """
     sent = (
         members.filter("type = 'llm_request'")
         .select("owner", "lane", "position", "id")
-        .join(nodes.filter("request_messages is not null").select("id", "request_messages"), "id")
-        .select("owner", "lane", "position", "id", F.posexplode("request_messages").alias(
-            "at", "message"))
-        .withColumn("key", message_key(F.col("message")))
+        .join(digests.filter("keys is not null").select("id", "keys"), "id")
+        .withColumns({"n": F.size("keys"), "whole": fingerprint(F.col("keys"))})
     )
-    # The winner per message is joined back by (id, key): no message, however often it is sent
-    # again, gathers its copies in one task.
-    first = (
-        sent.groupBy("owner", "lane", "key")
-        .agg(F.min(F.struct("position", "id")).alias("f"))
-        .select(F.col("f.id").alias("id"), "key")
+    lined = scan(sent, ["owner", "lane"], ["position"], [before("earlier", F.struct("n", "whole"))], cold)
+    known = F.coalesce("earlier.n", F.lit(0))
+    extends = (known <= F.col("n")) & (fingerprint(F.slice("keys", F.lit(1), known)) == F.col("earlier.whole"))
+    skipped = F.when(F.coalesce(extends, F.lit(False)), known).otherwise(0)
+    left = lined.withColumn("skipped", skipped).select(
+        "owner", "lane", "position", "id",
+        F.posexplode(F.slice("keys", F.col("skipped") + 1, F.col("n"))).alias("after", "key"), "skipped",
+    )
+    # Many copies of one message end in one row per task before the shuffle.
+    own = left.groupBy("owner", "lane", "key").agg(F.min_by(F.struct("position", "id"), F.struct("position", "id")).alias("f"))
+    first = own.select(F.col("f.id").alias("id"), "key")
+    return left.join(first, ["id", "key"]).select("id", (F.col("skipped") + F.col("after")).alias("at"))
+
+
+def delta_messages(members: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Messages first sent by each inference of a lane: ``(id, at, message)``."""
+    found = delta_positions(members, settle(digest(nodes)))
+    kept = found.groupBy("id").agg(F.sort_array(F.collect_list("at")).alias("kept"))
+    return (
+        nodes.filter("request_messages is not null").select("id", "request_messages").join(kept, "id")
+        .select("id", "request_messages", F.explode("kept").alias("at"))
+        .select("id", "at", F.get("request_messages", F.col("at")).alias("message"))
     )
-    return sent.join(first, ["id", "key"]).select("id", "at", "message")
 
 
 def deltas(members: DataFrame, nodes: DataFrame, fresh: DataFrame) -> DataFrame:
-    """New request messages and the full response of every inference in a lane."""
+    """New request messages and the full response of every inference in a lane.
+
+    ``fresh`` has the positions of the new messages; texts are picked from the bodies in one join.
+    """
     bodies = nodes.filter(
         "type = 'llm_request' and (request_messages is not null or response_messages is not null)"
-    ).select("id", F.col("request_messages").isNotNull().alias("asked"), "response_messages")
-    kept = fresh.groupBy("id").agg(
-        F.sort_array(F.collect_list(F.struct("at", "message"))).alias("kept")
-    )
-    new = F.coalesce(
-        F.transform("kept", lambda k: k["message"]), F.array().cast("array<string>")
-    )
-    return (
-        members.filter("type = 'llm_request'")
-        .select("id")
-        .join(bodies, "id")
-        .join(kept, "id", "left")
-        .select("id", F.when(F.col("asked"), new).alias("request"),
-                F.col("response_messages").alias("response"))
+    ).select("id", "request_messages", "response_messages")
+    kept = fresh.groupBy("id").agg(F.sort_array(F.collect_list("at")).alias("kept"))
+    wanted = members.filter("type = 'llm_request'").select("id").join(kept, "id", "left")
+    picked = F.transform(F.coalesce("kept", F.array().cast("array<int>")), lambda at: F.get("request_messages", at))
+    return bodies.join(wanted, "id").select(
+        "id", F.when(F.col("request_messages").isNotNull(), picked).alias("request"), F.col("response_messages").alias("response")
     )
 
 
@@ -311,24 +273,19 @@ def post_hooks(members: DataFrame, cold: bool | None = None) -> DataFrame:
 
 
 def causal_edges(
-    members: DataFrame,
-    nodes: DataFrame,
-    delta_rows: DataFrame,
-    fresh: DataFrame,
-    cold: bool | None = None,
+    members: DataFrame, nodes: DataFrame, digests: DataFrame, fresh: DataFrame, cold: bool | None = None
 ) -> DataFrame:
     """What triggered each step: ``(from_id, to_id, gap_ms)``."""
-    return owned_edges(members, nodes, delta_rows, fresh, cold).drop("owner")
+    return owned_edges(members, nodes, digests, fresh, cold).drop("owner")
 
 
 def owned_edges(
-    members: DataFrame,
-    nodes: DataFrame,
-    delta_rows: DataFrame,
-    fresh: DataFrame,
-    cold: bool | None = None,
+    members: DataFrame, nodes: DataFrame, digests: DataFrame, fresh: DataFrame, cold: bool | None = None
 ) -> DataFrame:
-    """``causal_edges`` with the interaction that both ends lie in, as ``owner``."""
+    """``causal_edges`` with the interaction that both ends lie in, as ``owner``.
+
+    ``fresh`` has the positions of new messages and ``digests`` the tool blocks of all messages.
+    """
     taking_part = scan(
         participants(members, nodes),
         ["owner", "lane", "group"],
@@ -351,10 +308,8 @@ def owned_edges(
 
     emitted = (
         placed.join(lane_order(members), ["owner", "lane"])
-        .join(delta_rows.select("id", F.explode("response").alias("raw")), "id")
-        .withColumn("b", messages.block(F.col("raw")))
-        .filter("b.type = 'tool_use' and b.id is not null")
-        .groupBy("owner", F.col("b.id").alias("tool_use_id"))
+        .join(digests.select("id", F.explode("calls.use_id").alias("used")), "id")
+        .groupBy("owner", F.col("used").alias("tool_use_id"))
         .agg(F.max_by(_end(), F.struct("lane_order", "position")).alias("emitter"))
     )
     tools = steps.filter("type = 'tool'")
@@ -366,10 +321,10 @@ def owned_edges(
         ).alias("t")
     )
     consumed = (
-        fresh.select("id", F.explode(messages.blocks_of(F.col("message"))).alias("raw"))
-        .withColumn("b", messages.block(F.col("raw")))
-        .filter("b.type = 'tool_result' and b.tool_use_id is not null")
-        .select("id", F.col("b.tool_use_id").alias("tool_use_id"))
+        digests.select("id", F.explode("results").alias("r"))
+        .select("id", F.col("r.at").alias("at"), F.col("r.use_id").alias("tool_use_id"))
+        .join(fresh, ["id", "at"])
+        .drop("at")
         .join(placed.drop("tool_use_id"), "id")
     )
     fan_in = (
@@ -447,7 +402,8 @@ def build_graph(canonical_nodes: DataFrame) -> Graph:
     nodes = settle(with_owner(settle(unique_nodes(canonical_nodes))))
     cold = not has_hot_group(nodes, ["interaction_id"])
     members = settle(lane_members(nodes, cold))
-    fresh = settle(delta_messages(members, nodes))
+    digests = settle(digest(nodes))
+    fresh = settle(delta_positions(members, digests, cold))
     delta_rows = settle(deltas(members, nodes, fresh))
-    edges = causal_edges(members, nodes, delta_rows, fresh, cold)
+    edges = causal_edges(members, nodes, digests, fresh, cold)
     return Graph(nodes, members, delta_rows, edges, cold)

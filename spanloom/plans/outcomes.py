@@ -6,27 +6,25 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spanloom.functions import messages, outcome, text
+from spanloom.plans.digest import digest
 
 
 def tool_results(nodes: DataFrame) -> DataFrame:
-    """``(session_id, tool_use_id, is_error, text)``; of several results the last one counts."""
-    sent = (
-        nodes.filter("type = 'llm_request' and request_messages is not null")
-        .select("session_id", "id", F.posexplode("request_messages").alias("message", "m"))
-        .select("session_id", "id", "message", F.posexplode(messages.blocks_of(F.col("m"))).alias(
-            "pos", "raw"))
-        .withColumn("b", messages.block(F.col("raw")))
-        .filter("b.type = 'tool_result' and b.tool_use_id is not null")
-    )
-    body = F.struct(F.coalesce("b.is_error", F.lit(False)).alias("is_error"), "raw")
-    return (
-        sent.groupBy("session_id", F.col("b.tool_use_id").alias("tool_use_id"))
-        .agg(F.max_by(body, F.struct("id", "message", "pos")).alias("r"))
-        .select(
-            "session_id", "tool_use_id", "r.is_error",
-            messages.result_text(F.col("r.raw")).alias("text"),
-        )
+    """``(session_id, tool_use_id, is_error, text)``; of several results the last one counts.
+
+    The last is told by references alone (time and id of the inference, then place); only the message that holds it is
+    read for its text.
+    """
+    refs = digest(nodes, ("session_id", "start_time_ns")).select("session_id", "start_time_ns", "id", F.explode("results").alias("r"))
+    order = F.struct("start_time_ns", "id", "r.at", "r.pos")
+    last = refs.groupBy("session_id", F.col("r.use_id").alias("tool_use_id")).agg(F.max_by(F.struct("id", "r"), order).alias("w"))
+    wanted = last.groupBy(F.col("w.id").alias("id")).agg(
+        F.collect_list(F.struct("session_id", "tool_use_id", "w.r.at", "w.r.pos", "w.r.is_error")).alias("wanted")
     )
+    read = nodes.select("id", "request_messages").join(wanted, "id").select("request_messages", F.inline("wanted"))
+    message = F.get("request_messages", F.col("at"))
+    raw = F.get(messages.blocks_of(message), F.col("pos"))
+    return read.select("session_id", "tool_use_id", "is_error", messages.result_text(raw).alias("text"))
 
 
 def attach_outcomes(nodes: DataFrame) -> DataFrame:

@@ -1,12 +1,14 @@
 """Lanes, deltas and causal edges on hand-made nodes. Times are in ms."""
 
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from spanloom.plans import analyses, graph
 from spanloom.plans.columns import CANONICAL, canonical
+from spanloom.plans.digest import digest, message_keys
 
 MS = 1_000_000
 
@@ -136,7 +138,7 @@ def message(text, mark=None):
 )
 def test_message_identity_ignores_cache_control(spark, raw, bare):
     df = spark.createDataFrame([(raw, bare or raw)], "raw string, bare string")
-    keys = df.select(graph.message_key(F.col("raw")), graph.message_key(F.col("bare"))).first()
+    keys = df.select(message_keys(F.array("raw")), message_keys(F.array("bare"))).first()
     assert keys[0] == keys[1]
 
 
@@ -151,6 +153,33 @@ def test_deltas_keep_new_messages_only(spark):
     assert got == {"a": [one, one], "b": [two], "c": [one, two, three], "d": [three]}
 
 
+def test_requests_that_extend_earlier_ones_cost_their_new_messages(spark):
+    """Cumulative requests with a branch, a shorter request and repeated messages, against sets of what was sent."""
+    rng = random.Random(3)
+    rows, sent, want = [root()], [], {}
+    history, seen = [], {"main": set(), "other": set()}
+    for i in range(40):
+        source = "other" if i % 9 == 8 else None
+        if i % 7 == 6:
+            history = history[: rng.randrange(len(history) + 1)]
+        history = [*history, *[message(str(rng.randrange(25))) for _ in range(rng.randrange(3))]]
+        rows.append(llm(f"n{i:02}", 100 + 10 * i, 105 + 10 * i, messages=history, source=source))
+        lane = "other" if source else "main"
+        want[f"n{i:02}"] = [m for m in history if json.dumps(m) not in seen[lane]]
+        seen[lane] |= {json.dumps(m) for m in history}
+        sent.append(len(history))
+    built = graph.build_graph(nodes(spark, rows))
+    assert {r.id: [json.loads(m) for m in r.request] for r in built.deltas.collect()} == want
+
+
+def test_digests_refer_to_tool_blocks(spark):
+    odd = ["no json", '{"content":"text"}', '{"content":[1,"x",{"type":"tool_result"},{"type":"tool\\u005fresult","tool_use_id":"a","is_error":true}]}']
+    row = {**llm("a", 100, 110), "request_messages": odd, "response_messages": ["{", '{"type":"tool_use","id":"b"}', '{"type":"tool_use"}']}
+    got = digest(nodes(spark, [root(), row])).first()
+    assert [tuple(r) for r in got.results] == [(2, 3, "a", True)] and [tuple(r) for r in got.calls] == [(0, 1, "b", False)]
+    assert len(got["keys"]) == 3 and all(len(k) == 32 for k in got["keys"])
+
+
 def test_owner_is_the_root_of_the_chain(spark):
     rows = [root(), tool("t", 100, 300), dict(id="x", type="tool.execution", start=110, end=290, parent="t"),
             llm("deep", 120, 130, parent="x"), tool("lost", 1, 2, parent="nowhere"),
