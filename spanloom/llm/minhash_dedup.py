@@ -80,6 +80,7 @@ def sketches(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFra
                 h1, h2 = (int(_mixed(found, by).sum(dtype=np.uint64).astype(np.int64)) for by in (0x2545F4914F6CDD1D, 0x9FB21C651E98DF25))
                 rows.append((id_, h1, h2, len(found), (found[:SKETCH] ^ np.uint64(1 << 63)).view(np.int64)))
             yield pd.DataFrame(rows, columns=["id", "h1", "h2", "n_shingles", "sketch"])
+        _words.clear()  # later tasks of this worker may need the memory for other things
 
     slim = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text")).filter("id IS NOT NULL")
     return slim.mapInPandas(run, _SPACE)

@@ -46,10 +46,10 @@ class WordTokens:
     white space stays inside a word and is left to it.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, kept: int = WORDS_KEPT):
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer, self.kept = Tokenizer.from_file(path), kept
         self.known: dict[bytes, bytes] = {}
 
     def _learn(self, words: list[bytes]) -> None:
@@ -69,22 +69,24 @@ class WordTokens:
         try:
             return b"".join(map(known.__getitem__, words))
         except KeyError:
-            if len(known) > WORDS_KEPT:
+            if len(known) > self.kept:
                 known.clear()
             self._learn(list({w for w in words if w not in known}))
             return b"".join(map(known.__getitem__, words))
 
 
 @functools.cache
-def _tokens(path: str) -> WordTokens:
-    return WordTokens(path)
+def _tokens(path: str, kept: int) -> WordTokens:
+    return WordTokens(path, kept)
 
 
-def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int, id_col: str, text_col: str) -> DataFrame:
+def token_pieces(
+    docs: DataFrame, tokenizer_path: str, capacity: int, id_col: str, text_col: str, kept: int = WORDS_KEPT
+) -> DataFrame:
     """Rows of pieces, each with its task and its number among the task's pieces of this length."""
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        tokens, task = _tokens(tokenizer_path), TaskContext.get().partitionId()
+        tokens, task = _tokens(tokenizer_path, kept), TaskContext.get().partitionId()
         seen = [0] * (capacity + 1)
         for batch in batches:
             rows = []
@@ -231,15 +233,16 @@ def _slots(plan: list[tuple[tuple[int, ...], int]]) -> pd.DataFrame:
 
 def pack(
     docs: DataFrame, tokenizer_path: str, capacity: int = 2048, id_col: str = "doc_id", text_col: str = "text",
-    rounds: int = 40,
+    rounds: int = 40, kept: int = WORDS_KEPT,
 ) -> DataFrame:
     """One row per piece: its document, its ids' checksum, its sequence and its place there.
 
     A document is its ids followed by id 0; only longer ones are cut. A null text is an empty one.
-    Repeated rows and rows without an id are packed like any other. No rows give no rows.
+    Repeated rows and rows without an id are packed like any other. No rows give no rows. ``kept`` bounds the
+    words that a worker remembers; fewer take less memory and more time.
     """
     scratch = Scratch(docs.sparkSession)
-    pieces = scratch.keep(token_pieces(docs, tokenizer_path, capacity, id_col, text_col), "pieces")
+    pieces = scratch.keep(token_pieces(docs, tokenizer_path, capacity, id_col, text_col, kept), "pieces")
     per_task = pieces.groupBy("length", "task").agg(F.count("*").alias("n"))
     # At most ``capacity`` rows.
     histogram = {int(r["length"]): int(r["n"]) for r in per_task.groupBy("length").agg(F.sum("n").alias("n")).collect()}
