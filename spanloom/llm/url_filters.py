@@ -42,16 +42,24 @@ def _reversed(host: Column) -> Column:
 def _stacked(rules: DataFrame) -> DataFrame:
     """(key, stack): for each rule, the rules around it and itself, outermost first.
 
-    A rule's surroundings are found by cutting its path to the lengths that rules of its host have.
+    Around a rule are rules of its host, found by cutting its path to the lengths that rules of the host
+    have, and rules without a path of the hosts above.
     """
-    rule = F.struct(F.length("path").alias("n"), _key(F.col("host"), F.col("path")).alias("key"),
+    key = _key(F.col("host"), F.col("path"))
+    rule = F.struct(F.length(key).alias("size"), F.length("path").alias("n"), key.alias("key"),
                     F.concat("host", "path").alias("rule"), "verdict")
     known = rules.select("host", "path", rule.alias("of"))
     lengths = known.select("host", F.col("of.n").alias("n")).distinct()
     cut = known.join(lengths, "host").filter(F.col("n") <= F.col("of.n")).select(
         "host", F.col("of.key").alias("key"), F.substr("path", F.lit(1), F.col("n")).alias("path")
     )
-    return cut.join(known, ["host", "path"]).groupBy("key").agg(F.sort_array(F.collect_list("of")).alias("stack"))
+    labels = F.split("host", r"\.", -1)
+    above = known.filter(F.size(labels) > 1).select(
+        F.explode(F.transform(F.sequence(F.lit(2), F.size(labels)), lambda n: F.array_join(F.slice(labels, n, F.size(labels)), "."))).alias("host"),
+        F.col("of.key").alias("key"), F.lit("").alias("path"),
+    )
+    around = cut.unionByName(above).join(known, ["host", "path"])
+    return around.groupBy("key").agg(F.sort_array(F.collect_list("of")).alias("stack"))
 
 
 def _key(host: Column, path: Column) -> Column:
@@ -86,7 +94,8 @@ def judge_urls(
     or one without ``://`` has an empty host and path. Ids may be null or repeated; each row has a result.
     """
     scratch = Scratch(pages.sparkSession)
-    rules = rules.filter("host IS NOT NULL AND path IS NOT NULL").groupBy(ascii_lower(F.col("host")).alias("host"), "path").agg(F.max("verdict").alias("verdict"))
+    # Paths of urls are empty or begin with a slash; no other rule can fit.
+    rules = rules.filter("host IS NOT NULL AND (path = '' OR startswith(path, '/'))").groupBy(ascii_lower(F.col("host")).alias("host"), "path").agg(F.max("verdict").alias("verdict"))
     rules = scratch.keep(rules, "rules")
     labels = F.size(F.split("host", r"\.", -1))
     longest = rules.agg(F.max(labels)).first()[0] or 0
