@@ -5,6 +5,7 @@ import collections
 import gzip
 import hashlib
 import random
+import time
 import zlib
 
 import numpy as np
@@ -36,11 +37,11 @@ def verdict(url, rules):
 @pytest.mark.parametrize("partitions", [1, 5])
 def test_url_rules(spark, partitions):
     rng = random.Random(partitions)
-    hosts, paths = ["net", "a.net", "b.a.net", "com", "x.com", "é.org", "org"], ["", "/", "/e", "/en", "/en/", "/en/a/", "/é/", "/z"]
+    hosts, paths = ["net", "a.net", "-a.net", "", "com", "x.com", "é.org", "org"], ["", "/", "q", "/e", "/en", "/en/", "/en/a/", "/é/", "/z"]
     rules = sorted({(rng.choice(hosts), rng.choice(paths)): rng.choice(["allow", "block"]) for _ in range(22)}.items())
     rules = [(h, p, v) for (h, p), v in rules]
     urls = [None, "", "nothing", "http://", "http://?x", "HTTP://A.NET/en/", "http://.net/", "http://a..net/en/x", "s://u@a.net:80/", "x://net", "a://b://c"]
-    urls += [f"http://{rng.choice(['', 'w.', 'q.w.', 'xa.'])}{rng.choice(hosts)}{rng.choice(paths)}{rng.choice(['', 'q', 'a/b', '?en/', '#', '/en/a/'])}" for _ in range(150)]
+    urls += [f"http://{rng.choice(['', 'w.', 'q.w.', 'xa.', '-a.', 'b.-a.', '.'])}{rng.choice(hosts)}{rng.choice(paths)}{rng.choice(['', 'q', 'a/b', '?en/', '#', '/en/a/'])}" for _ in range(150)]
     urls += ["http://hot.a.net/en/a/1"] * 60
     rows = list(enumerate(urls)) + [(None, urls[5]), (0, urls[0])]
     pages = spark.createDataFrame(rows, "page_id bigint, url string").withColumn("host", F.lit("clash"))
@@ -56,6 +57,14 @@ def test_url_rules(spark, partitions):
     assert url_filters.judge_urls(pages.limit(0), table).count() == 0
 
 
+def test_a_rule_without_a_path_holds_around_rules_of_hosts_below(spark):
+    rules = [("net", "", "block"), ("-a.net", "/q", "allow"), ("-a.net", "", "block"), ("net", "q", "allow")]
+    urls = ["http://net/x", "http://foo.net/x", "http://b.-a.net/z", "http://-a.net/q/1", "http://netq/x", "http://net"]
+    table = spark.createDataFrame(rules, "host string, path string, verdict string")
+    got = url_filters.judge_urls(spark.createDataFrame(list(enumerate(urls)), "page_id bigint, url string"), table).collect()
+    assert sorted(tuple(r) for r in got) == [(i, *verdict(u, rules)) for i, u in enumerate(urls)]
+
+
 # ---- Mixing ---------------------------------------------------------------------------------------------
 
 
@@ -261,6 +270,67 @@ def test_blocks_stay_blocks_at_any_depth(deep):
     assert html_extract.main_text(article, None, ()) == "One 1\nTwo 1"
 
 
+@pytest.mark.parametrize("shell", [
+    '<div class="site no-sidebar">%s</div>', '<div id="search-results-page">%s</div>', '<section class="social-science">%s</section>',
+    '<div class="entry comment-closed">%s</div>', '<div class="search">%s</div>', '<div class="widget hidden">%s</div>',
+])
+def test_names_that_hold_a_purpose_word_do_not_delete_the_text(shell):
+    text = "One real paragraph of some length."
+    assert html_extract.main_text(f"<body>{shell % f'<p>{text}</p>'}</body>", None, ()) == text
+    around = "<div class=site-footer>Foot</div><ul class='comment-list'><li>Comment</ul><div id=nav-menu>Menu</div><div role=search>Find</div>"
+    assert html_extract.main_text(f"<body>{shell % f'<p>{text}</p>'}{around}</body>", None, ()) == text
+    assert html_extract.main_text(f"<body>{around}{shell % f'<article><p>{text}</p></article>'}</body>", None, ()) == text
+
+
+def test_all_articles_of_a_page_stay():
+    parts = "<article><p>Part one</p></article><aside><article>Teaser</article></aside><article><p>Part two, longer</p></article>"
+    assert html_extract.main_text(f"<body><p>Before</p>{parts}</body>", None, ()) == "Part one\nPart two, longer"
+
+
+def _tree(rng, depth):
+    node = html_extract.Node("x", rng.choice("ab") if depth < 4 else "root", False)
+    node.items = [_tree(rng, depth - 1) for _ in range(rng.randrange(4) if depth else 0)]
+    return node
+
+
+def _most(a, b):
+    """Simple tree matching as it is defined."""
+    if a.label != b.label:
+        return 0
+    left, right = a.blocks(), b.blocks()
+    rows = [[0] * (len(right) + 1) for _ in range(len(left) + 1)]
+    for i, p in enumerate(left):
+        for j, q in enumerate(right):
+            rows[i + 1][j + 1] = max(rows[i][j + 1], rows[i + 1][j], rows[i][j] + _most(p, q))
+    return rows[-1][-1] + 1
+
+
+def test_alignment_against_brute_force():
+    rng = random.Random(4)
+    for _ in range(300):
+        a, b = _tree(rng, 4), _tree(rng, 4)
+        got = html_extract.align(a, b)
+        order = {id(n): k for tree in (a, b) for k, n in enumerate(html_extract.numbered(tree))}
+        above = {id(c): n for tree in (a, b) for n in html_extract.numbered(tree) for c in n.blocks()}
+        assert len(got) == _most(a, b)
+        places = sorted((order[id(p)], order[id(q)]) for p, q in got)
+        assert all(p < r and q < s for (p, q), (r, s) in zip(places, places[1:], strict=False))
+        pairs = {(id(p), id(q)) for p, q in got}
+        assert all(p.label == q.label and (p is a or (id(above[id(p)]), id(above[id(q)])) in pairs) for p, q in got)
+
+
+@pytest.mark.parametrize("block", ["<p>Text {}</p>", "<div class=row><p>Text {}</p></div>"])
+def test_long_pages_are_aligned_in_time_that_grows_with_them(block):
+    def long(n, seed):
+        return "<body><div class=top>Our site</div>" + "".join(block.format(seed + i) for i in range(n)) + "<div class=end>All rights</div>"
+
+    started = time.monotonic()
+    pairs = html_extract.align(html_extract.parse(long(10_000, 0)), html_extract.parse(long(9_000, 5)))
+    assert time.monotonic() - started < 20
+    assert len(pairs) == 4 + 9_000 * block.count("</")  # page, body, top, end
+    assert {html_extract.own_text(q) for _, q in pairs} >= {"Our site", "All rights"}
+
+
 def test_simple_tree_matching_counts_the_most_matches():
     def tree(spec):
         node = html_extract.Node(spec[0], spec[0], False)
