@@ -18,14 +18,14 @@ import oracle_queries  # noqa: E402
 from spanloom.functions import bodies, intent, labels, outcome, paths, text  # noqa: E402
 from spanloom.operators.climb import nearest_stop, reach  # noqa: E402
 from spanloom.operators.nesting import inside  # noqa: E402
-from spanloom.operators.ordered import after, position, scan  # noqa: E402
+from spanloom.operators.ordered import after, before, position, scan  # noqa: E402
 from spanloom.operators.stab import best_covering, latest_ended  # noqa: E402
 from spanloom.plans import adapters as ad  # noqa: E402
 from spanloom.plans import analyses as an  # noqa: E402
 from spanloom.plans import chat, graph, otel, outcomes, semantics, tables, workbench  # noqa: E402
 from spanloom.plans.digest import digest  # noqa: E402
 from spanloom.runtime import prepare, settle  # noqa: E402
-from spanloom.sources import chatlog, files  # noqa: E402
+from spanloom.sources import chatlog, files, records  # noqa: E402
 from spanloom.sources import otel as otel_source  # noqa: E402
 
 # The training-data operators are optional; without their folder the rest works alone.
@@ -255,6 +255,15 @@ def llm_enrichment(spark, sf):
     )
 
 
+def log_records(spark, sf):
+    """Events of log arrays that are read in pieces, each with the event before it."""
+    found = records.records(ad.event_pieces(spark, sf), otel_source.EVENT_LEVEL)
+    events = settle(otel_source.record_logs(found)).select(
+        "path", "pos", F.col("event_sequence").cast("bigint").alias("event_id"), "event_name", "body"
+    )
+    return scan(events, ["path"], ["pos"], [before("previous", F.col("event_id"))], ad.is_cold(spark, sf)).drop("pos")
+
+
 def thread_assignment(spark, sf):
     members, _, _ = _members(spark, sf)
     return members.filter("type <> 'llm_request'").select("owner", "id", "lane")
@@ -578,6 +587,7 @@ QUERIES: list[Query] = [
     session_rollup, interaction_metrics, interaction_rollup, shape_counts, load_summary,
     typed_views, interaction_windows, node_seq, narrowest_span, last_ended_before, positional_zip,
     hook_pairs, otel_spans, otel_rejects, span_violations, log_attribution, llm_enrichment,
+    log_records,
     thread_assignment, threads, first_seen_delta, message_deltas, causal_edges, edge_gaps,
     prompt_edges, main_thread_longest, parallel_levels, hidden_subcalls, tools_with_causes,
     causal_reach, root_closure, subtree, ancestor_path, nearest_tool, containment,

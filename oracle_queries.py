@@ -355,6 +355,10 @@ SQL = {
         WHERE event_name = 'api_response_body' AND request_id IS NOT NULL)
       SELECT a.harness_session, b.request_id, arg_max(a.body, a.r) AS zipped_body FROM a JOIN b USING (harness_session, r)
       GROUP BY a.harness_session, b.request_id""",
+    "log_records": """SELECT '/t/' || CAST(user_id AS VARCHAR) || '/logs.json' AS path, event_id, event_type AS event_name,
+      '{"[\\' || CAST(CAST(json_extract_string(props, '$.k') AS BIGINT) AS VARCHAR) || '"} é ]"' AS body,
+      lag(event_id) OVER (PARTITION BY user_id ORDER BY event_id) AS previous
+      FROM events WHERE user_id IS NOT NULL""",
     "hook_pairs": f"""WITH {LOGS},
       a AS (SELECT *, row_number() OVER (PARTITION BY harness_session, hook_name ORDER BY pos) AS r FROM logs
         WHERE event_name = 'hook_execution_start' AND hook_name IS NOT NULL),

@@ -329,6 +329,29 @@ def event_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def event_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``events`` as one log array per user, in pieces ``(path, block, piece, text)``.
+
+    Each event is cut in the middle of a string that holds quotes, braces and a backslash.
+    """
+    rows = event_rows(spark, sf_dir)
+    path = F.concat(F.lit("/t/"), F.col("user_id").cast("string"), F.lit("/logs.json"))
+    event = F.struct(
+        F.col("event_id").cast("string").alias("event_sequence"), F.col("event_type").alias("event_name"),
+        F.concat(F.lit('{"[\\'), F.col("k").cast("string"), F.lit('"} é ]"')).alias("body"),
+    )
+    text = rows.select(path.alias("path"), F.col("event_id").alias("block"), F.concat(F.to_json(event), F.lit(",")).alias("text"))
+    at = F.instr("text", "}")
+    halves = F.array(
+        F.struct(F.lit(0).cast("bigint").alias("piece"), F.substr("text", F.lit(1), at).alias("text")),
+        F.struct(F.lit(1).cast("bigint").alias("piece"), F.substr("text", at + 1).alias("text")),
+    )
+    begun = rows.select(path.alias("path")).distinct().select(
+        "path", F.lit(-1).cast("bigint").alias("block"), F.lit(0).cast("bigint").alias("piece"), F.lit(" [\n").alias("text")
+    )
+    return text.select("path", "block", F.inline(halves)).unionByName(begun)
+
+
 def path_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``lineitem`` as file paths: ``(l_orderkey, l_linenumber, path, cwd)``."""
     a, b = F.col("l_orderkey"), F.col("l_linenumber")

@@ -334,33 +334,57 @@ def stored_tables(graph: g.Graph) -> dict[str, DataFrame]:
 # ---- Storage ---------------------------------------------------------------------------------
 
 
-#: Names the folder of a snapshot that is whole.
-CURRENT = "_current"
+#: Empty files in this folder name the snapshots that are whole, as ``<number>-<folder>``; the last one counts.
+COMMITS = "_commits"
+#: Snapshots that stay: the current one, and those before it that readers may still use.
+KEPT = 2
+
+
+def _hadoop(spark: SparkSession, path: str):
+    """The file system of a path, and how to name paths in it."""
+    make = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    return make(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), make
+
+
+def snapshots(spark: SparkSession, path: str) -> list[str]:
+    """Names of the whole snapshots below ``path``, the current one last."""
+    fs, make = _hadoop(spark, path)
+    folder = make(f"{path.rstrip('/')}/{COMMITS}")
+    return sorted(s.getPath().getName() for s in fs.listStatus(folder)) if fs.exists(folder) else []
 
 
 def write_tables(tables: dict[str, DataFrame], path: str) -> None:
     """One Parquet directory per stored table, and of ``rejects`` if there are any.
 
-    They go to a new folder below ``path``, which is named as the current one when all are written; a
-    write that fails half-way leaves the earlier snapshot as it is.
+    They go to a new folder below ``path``. Creating one empty file makes it the current snapshot, so there
+    is a whole one at any time, and a write that fails leaves the earlier one as it is. Of writers at the
+    same time each commits its own folder; the last name is the current one. Older snapshots than the
+    last ``KEPT`` are removed. Folders of failed writes stay.
     """
     base, version = path.rstrip("/"), uuid.uuid4().hex
     for name in [*(t.name for t in STORED), *(["rejects"] if "rejects" in tables else [])]:
         tables[name].write.mode("error").parquet(f"{base}/{version}/{name}")
     spark = tables[STORED[0].name].sparkSession
-    names = sorted(tables.keys() & {"rejects"})
-    spark.createDataFrame([(version, names)], "version string, extras array<string>").coalesce(1).write.mode(
-        "overwrite"
-    ).json(f"{base}/{CURRENT}")
+    fs, make = _hadoop(spark, base)
+    earlier = snapshots(spark, base)
+    number = int(earlier[-1].split("-")[0]) + 1 if earlier else 1
+    fs.create(make(f"{base}/{COMMITS}/{number:012d}-{version}"), False).close()
+    for name in snapshots(spark, base)[:-KEPT]:
+        fs.delete(make(f"{base}/{COMMITS}/{name}"), False)
+        fs.delete(make(f"{base}/{name.split('-')[1]}"), True)
 
 
 def read_tables(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     """The tables of the current snapshot."""
     base = path.rstrip("/")
-    current = spark.read.schema("version string, extras array<string>").json(f"{base}/{CURRENT}").first()
-    folder = f"{base}/{current.version}"
+    whole = snapshots(spark, base)
+    if not whole:
+        raise FileNotFoundError(f"no snapshot below {base}")
+    folder = f"{base}/{whole[-1].split('-')[1]}"
     made = {t.name: spark.read.schema(t.schema).parquet(f"{folder}/{t.name}") for t in STORED}
-    return made | {name: spark.read.parquet(f"{folder}/{name}") for name in current.extras or []}
+    fs, make = _hadoop(spark, folder)
+    extras = [name for name in ("rejects",) if fs.exists(make(f"{folder}/{name}"))]
+    return made | {name: spark.read.parquet(f"{folder}/{name}") for name in extras}
 
 
 def register(tables: dict[str, DataFrame]) -> dict[str, DataFrame]:

@@ -35,25 +35,26 @@ def file_columns(path: Column) -> dict[str, Column]:
 
 
 def listing(spark: SparkSession, dirs: Sequence[str]) -> DataFrame:
-    """Every file below ``dirs`` as ``(path, name, dir, input_type)``; contents are not read."""
+    """Every file below ``dirs`` as ``(path, name, dir, size, input_type)``; contents are not read."""
     found = (
         spark.read.format("binaryFile")
         .option("recursiveFileLookup", "true")
         .load(list(dirs))
-        .select("path")
+        .select("path", F.col("length").alias("size"))
     )
     return found.select(
-        *[c.alias(n) for n, c in file_columns(F.col("path")).items()]
+        *[c.alias(n) for n, c in file_columns(F.col("path")).items()], "size"
     ).withColumn("input_type", input_type(F.col("name")))
 
 
-def read_documents(spark: SparkSession, dirs: Sequence[str], glob: str) -> DataFrame:
-    """Whole JSON documents as ``(path, name, dir, content)``."""
+def read_documents(spark: SparkSession, dirs: Sequence[str], glob: str, up_to: int) -> DataFrame:
+    """JSON documents of a size as ``(path, name, dir, content)``, one per row."""
     docs = (
         spark.read.option("recursiveFileLookup", "true")
         .option("wholetext", "true")
         .option("pathGlobFilter", glob)
         .text(list(dirs))
+        .filter(F.col("_metadata.file_size") <= up_to)
         .select(F.col("value").alias("content"), F.col("_metadata.file_path").alias("p"))
     )
     named = [c.alias(n) for n, c in file_columns(F.col("p")).items()]

@@ -5,19 +5,25 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from spanloom.sources.files import file_columns
+
 SPAN = """
 STRUCT<traceId: STRING, spanId: STRING, parentSpanId: STRING, name: STRING,
   startTimeUnixNano: STRING, endTimeUnixNano: STRING,
   attributes: ARRAY<STRUCT<key: STRING, value: STRUCT<stringValue: STRING, boolValue: BOOLEAN,
     intValue: STRING, doubleValue: DOUBLE>>>>
 """
-TRACE = f"STRUCT<batches: ARRAY<STRUCT<scopeSpans: ARRAY<STRUCT<spans: ARRAY<{SPAN}>>>>>>"
-LOGS = """
-ARRAY<STRUCT<timestamp_ns: BIGINT, event_sequence: STRING, span_id: STRING, session_id: STRING,
+BATCH = f"STRUCT<scopeSpans: ARRAY<STRUCT<spans: ARRAY<{SPAN}>>>>"
+TRACE = f"STRUCT<batches: ARRAY<{BATCH}>>"
+EVENT = """
+STRUCT<timestamp_ns: BIGINT, event_sequence: STRING, span_id: STRING, session_id: STRING,
   event_name: STRING, hook_name: STRING, request_id: STRING, query_source: STRING, body: STRING,
   tool_name: STRING, prompt: STRING, tool_use_id: STRING, tool_input: STRING, cost_usd: STRING,
-  total_duration_ms: STRING>>
+  total_duration_ms: STRING>
 """
+LOGS = f"ARRAY<{EVENT}>"
+#: Depth at which batches of a trace and events of a log open.
+BATCH_LEVEL, EVENT_LEVEL = 2, 1
 SPAN_BYTES, TRACE_BYTES = 8, 16
 
 
@@ -52,6 +58,26 @@ def flat_logs(documents: DataFrame) -> DataFrame:
     ).select("path", "dir", "pos", "e.*")
 
 
+def record_spans(batches: DataFrame) -> DataFrame:
+    """``flat_spans`` of batches read one by one, ``(path, offset, record)``; ``pos`` keeps their order."""
+    spans = F.flatten(F.transform(F.from_json("record", BATCH)["scopeSpans"], lambda s: s["spans"]))
+    return batches.select("path", "offset", F.posexplode(spans).alias("i", "span")).select(
+        "path", *_names("name", "dir"), (F.col("offset") + F.col("i")).alias("pos"), "span"
+    )
+
+
+def record_logs(events: DataFrame) -> DataFrame:
+    """``flat_logs`` of events read one by one, ``(path, offset, record)``."""
+    return events.select(
+        "path", *_names("dir"), F.col("offset").alias("pos"), F.from_json("record", EVENT).alias("e")
+    ).select("path", "dir", "pos", "e.*")
+
+
+def _names(*wanted: str) -> list[Column]:
+    columns = file_columns(F.col("path"))
+    return [columns[n].alias(n) for n in wanted]
+
+
 def trace_sessions(spans: DataFrame) -> DataFrame:
     """Session of each trace file: the first span that names one."""
     named = string_attribute(F.col("span.attributes"), "session.id")

@@ -237,6 +237,45 @@ def test_a_failed_save_keeps_the_snapshot(loaded, spark, tmp_path):
     assert Workbench.open(spark, path).summary() == {**whole, "dirs": [path]}
 
 
+def test_snapshots_follow_each_other(loaded, spark, tmp_path, monkeypatch):
+    from spanloom.plans import tables
+
+    bench, *_ = loaded
+    path = str(tmp_path / "many")
+    with pytest.raises(FileNotFoundError):
+        Workbench.open(spark, path)
+    seen = []
+    for _ in range(3):
+        bench.save(path)
+        seen.append(tables.snapshots(spark, path)[-1])
+    assert seen == sorted(seen) and tables.snapshots(spark, path) == seen[-tables.KEPT :]
+    folders = {p.name for p in (tmp_path / "many").iterdir()}
+    assert folders == {tables.COMMITS, *(name.split("-")[1] for name in seen[-tables.KEPT :])}
+    # Two writers that saw the same snapshots: both are whole, and one of them is current.
+    monkeypatch.setattr(tables, "snapshots", lambda *_: seen[:1])
+    bench.save(path)
+    monkeypatch.undo()
+    assert Workbench.open(spark, path).summary() == {**bench.summary(), "dirs": [path]}
+
+
+def test_preview_runs_a_query_once_if_all_rows_fit(spark):
+    rows = spark.sparkContext.accumulator(0)
+
+    def counting(batches):
+        for batch in batches:
+            rows.add(len(batch))
+            yield batch
+
+    df = spark.range(100, numPartitions=7).mapInPandas(counting, "id bigint").orderBy(F.desc("id"))
+    seen = preview(df, max_rows=100)
+    assert seen.rows[0]["id"] == 99 and (seen.row_count, seen.truncated) == (100, False)
+    assert rows.value == 100
+    assert (preview(df, max_rows=99).row_count, preview(df, max_rows=99).dropped_rows) == (100, 1)
+    for empty in (spark.range(0), spark.range(5).filter("id > 9"), spark.range(5).limit(0)):
+        assert (preview(empty).row_count, preview(empty).rows) == (0, [])
+    assert preview(spark.range(5), max_rows=0).row_count == 5
+
+
 def test_preview_caps(spark):
     df = spark.range(30).select("id", F.lit("x" * 50).alias("t")).orderBy("id")
     whole = preview(df)
