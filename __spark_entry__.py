@@ -492,6 +492,17 @@ def chat_requests(spark, sf):
     )
 
 
+def chat_tool_nodes(spark, sf):
+    """Nodes of native logs with tool calls, chunked replies, turn ends and files to leave out."""
+    lines = ad.tool_chat_lines(spark, sf)
+    nodes = chat.chat_nodes(settle(chatlog.entries(lines)))
+    return nodes.select(
+        "type", "session_id", "start_time_ns", "end_time_ns", "tokens_in", "stop_reason", "name", "tool_input",
+        F.size("response_messages").alias("reply_blocks"),
+        F.get_json_object(F.col("request_messages")[0], "$.content[0].tool_use_id").alias("fed"),
+    )
+
+
 def intent_counts(spark, sf):
     talk = ad.read_spread(spark, sf, "conversations").filter("role = 'user'")
     nodes = intent.with_intent(talk, "text", "intent_category").withColumn(
@@ -595,7 +606,7 @@ QUERIES: list[Query] = [
     inference_semantics, node_context, resolve_node, redundant_calls, redundant_call_members,
     longest_steps, misleading_files, failed_edit_members, error_breakdown, verify_loop_excluded,
     recovery_window, recovery_same_file, preventable_cost, failure_facts, json_escape_hatch,
-    chat_log_nodes, chat_requests, intent_counts, document_intents, document_error_kinds,
+    chat_log_nodes, chat_requests, chat_tool_nodes, intent_counts, document_intents, document_error_kinds,
     decoded_bodies, shell_action, path_type, repo_path, url_host, classify_files, repo_families,
     session_routing,
 ]

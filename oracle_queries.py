@@ -265,6 +265,9 @@ held AS (
     last_value(CASE WHEN role = 'user' THEN turn END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn
     ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS user_turn FROM talk t)"""
 
+# Every fourth user entry is no prompt here.
+TOOL_TALK = TALK.replace("NOT starts_with(text, '<')", "NOT starts_with(text, '<') AND turn % 4 <> 2")
+
 SPACES = r"[ \x{00a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{feff}]+$"
 
 
@@ -522,6 +525,24 @@ SQL = {
         coalesce(1700000000 + h.conv_id * 1000 + h.user_turn * 10, h.sec) * 1000000000, h.sec * 1000000000,
         CAST(length(h.text) AS DOUBLE), CAST(h.turn AS DOUBLE), NULL, NULL, NULL, 'end_turn', 1
       FROM held h WHERE h.role = 'assistant' AND h.prompt_turn IS NOT NULL""",
+    "chat_tool_nodes": f"""WITH {TOOL_TALK},
+      replies AS (SELECT *, CAST(conv_id AS VARCHAR) || '-' || CAST(turn AS VARCHAR) AS key, (conv_id + turn) % 3 <> 0 AS answered
+        FROM held WHERE role = 'assistant' AND prompt_turn IS NOT NULL),
+      fed AS (SELECT *, lag(CASE WHEN answered THEN 'u' || key END) OVER (PARTITION BY conv_id, prompt_turn ORDER BY turn) AS fed FROM replies),
+      ends AS (SELECT conv_id, prompt_turn, CASE WHEN conv_id % 2 = 0 THEN min(sec) + 5 ELSE max(sec) + 1 END AS ended FROM replies GROUP BY conv_id, prompt_turn)
+      SELECT 'interaction' AS type, 'session-c' || CAST(t.conv_id AS VARCHAR) AS session_id, t.sec * 1000000000 AS start_time_ns,
+        greatest(t.sec, coalesce(e.ended, t.sec)) * 1000000000 AS end_time_ns, CAST(NULL AS DOUBLE) AS tokens_in,
+        CAST(NULL AS VARCHAR) AS stop_reason, CAST(NULL AS VARCHAR) AS name, CAST(NULL AS VARCHAR) AS tool_input,
+        CAST(NULL AS BIGINT) AS reply_blocks, CAST(NULL AS VARCHAR) AS fed
+      FROM turns t LEFT JOIN ends e ON e.conv_id = t.conv_id AND e.prompt_turn = t.turn
+      UNION ALL
+      SELECT 'llm_request', 'session-c' || CAST(conv_id AS VARCHAR), coalesce(1700000000 + conv_id * 1000 + user_turn * 10, sec) * 1000000000,
+        (sec + 1) * 1000000000, CAST(length(text) AS DOUBLE), 'tool_use', NULL, NULL, 3, fed FROM fed
+      UNION ALL
+      SELECT 'tool', 'session-c' || CAST(conv_id AS VARCHAR), (sec + 1) * 1000000000,
+        (sec + CASE WHEN answered THEN 3 ELSE 1 END) * 1000000000, NULL, NULL,
+        CASE WHEN turn % 5 = 0 THEN 'unknown' ELSE {pick('turn', ['Edit', 'Bash', 'Read'])} END,
+        '{{"file_path":"/repo/' || key || '.ts"}}', NULL, NULL FROM replies""",
     "chat_requests": f"""WITH {TALK} SELECT 'session-c' || CAST(h.conv_id AS VARCHAR) AS session_id, h.sec * 1000000000 AS end_time_ns, u.text AS asked
       FROM held h LEFT JOIN conversations u ON u.conv_id = h.conv_id AND u.turn = h.user_turn
       WHERE h.role = 'assistant' AND h.prompt_turn IS NOT NULL""",

@@ -240,6 +240,57 @@ def conversation_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def tool_chat_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``conversations`` as native logs with tool calls: ``(path, block, line, value)``.
+
+    A reply comes in two chunks of one request; the second calls a tool, twice by the same id. Two in three
+    calls are answered, some replies are followed by the end of their turn, and every fourth user entry is no
+    prompt. Blank and broken lines lie between, and each session has a second file of other entries.
+    """
+    talk = read(spark, sf_dir, "conversations").withColumn("key", F.concat_ws("-", "conv_id", "turn"))
+    turn, key = F.col("turn"), F.col("key")
+    above = F.when(turn > 0, F.concat_ws("-", "conv_id", (turn - 1).cast("string")))
+
+    def entry(kind: Column, seconds: int, uuid: Column, parent: Column, message: Column | None, **more: Column) -> Column:
+        at = F.timestamp_seconds(F.lit(1_700_000_000 + seconds) + F.col("conv_id") * 1000 + turn * 10)
+        fields = {
+            "uuid": uuid, "parentUuid": parent, "type": kind, "sessionId": F.concat(F.lit("c"), F.col("conv_id")),
+            "timestamp": F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'"), "message": message, **more,
+        }
+        return F.to_json(F.struct(*[c.alias(n) for n, c in fields.items() if c is not None]))
+
+    def call(name: Column) -> Column:
+        path = F.struct(F.concat(F.lit("/repo/"), key, F.lit(".ts")).alias("file_path"))
+        return F.struct(F.lit("tool_use").alias("type"), F.concat(F.lit("u"), key).alias("id"), name.alias("name"), path.alias("input"))
+
+    def chunk(stop: Column, tokens: Column, *blocks: Column) -> Column:
+        return F.struct(stop.alias("stop_reason"), F.struct(tokens.alias("input_tokens")).alias("usage"), F.array(*blocks).alias("content"))
+
+    said = F.when(turn % 4 == 2, F.concat(F.lit("<note>"), "text")).otherwise(F.col("text"))
+    text = F.struct(F.lit("text").alias("type"), F.col("text"))
+    tool = F.when(turn % 5 != 0, _pick(turn, ["Edit", "Bash", "Read"]))
+    result = F.struct(F.lit("tool_result").alias("type"), F.concat(F.lit("u"), key).alias("tool_use_id"), F.col("text").alias("content"))
+    reply, user, request = F.lit("assistant"), F.lit("user"), F.concat(F.lit("r"), key)
+    second, third = F.concat(key, F.lit("b")), F.concat(key, F.lit("r"))
+    none = F.lit(None).cast("string")
+    lines = {
+        0: entry(reply, 0, key, above, chunk(none, F.length("text"), text), requestId=request),
+        1: entry(reply, 1, second, key, chunk(F.lit("tool_use"), F.lit(1_000_000), call(tool), call(F.lit("Other"))), requestId=request),
+        2: F.when((F.col("conv_id") + turn) % 3 != 0, entry(user, 3, third, second, F.struct(F.array(result).alias("content")))),
+        3: F.lit(""),
+        4: F.lit('{"uuid":"broken'),
+        5: F.when(F.col("conv_id") % 2 == 0, entry(F.lit("system"), 5, F.concat(key, F.lit("d")), key, None, subtype=F.lit("turn_duration"))),
+    }
+    line = F.array(*[F.struct((turn * 10 + i).alias("line"), value.alias("value")) for i, value in lines.items()])
+    other = entry(F.col("role"), 0, key, above, F.struct(said.alias("content")))
+    plain = F.array(F.struct((turn * 10).alias("line"), other.alias("value")))
+    path = F.concat(F.lit("/logs/c"), F.col("conv_id"))
+    written = talk.select(
+        F.concat(path, F.lit(".jsonl")).alias("path"), F.inline(F.when(F.col("role") == "assistant", line).otherwise(plain))
+    ).unionByName(talk.select(F.concat(path, F.lit(".z.jsonl")).alias("path"), F.inline(plain)))
+    return written.filter("value IS NOT NULL").select("path", F.lit(0).cast("bigint").alias("block"), "line", "value")
+
+
 def trace_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``events`` as trace files of one span each: ``(path, name, dir, content)``.
 
