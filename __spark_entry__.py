@@ -545,6 +545,18 @@ def shell_action(spark, sf):
     return rows.select("o_orderkey", "action")
 
 
+def tool_labels(spark, sf):
+    """Entries of calls of every listed tool, with their commands."""
+    calls = ad.tool_call_rows(spark, sf)
+    entries = semantics.label_entries(semantics.tool_entries(calls))
+    # One row per call on this side.
+    valid = F.when(F.expr("try_parse_json(tool_input) is not null"), F.col("tool_input"))
+    commands = calls.select("id", labels.bash_command(valid).alias("bash_command"))
+    return entries.join(commands, "id").select(
+        F.col("id").cast("bigint").alias("o_orderkey"), "sequence_in_node", "action", "raw_path", "url", "comment", "bash_command"
+    )
+
+
 def path_type(spark, sf):
     rows = labels.with_path_type(ad.path_rows(spark, sf), "path", "path_type")
     return rows.select("l_orderkey", "l_linenumber", "path_type")
@@ -607,7 +619,7 @@ QUERIES: list[Query] = [
     longest_steps, misleading_files, failed_edit_members, error_breakdown, verify_loop_excluded,
     recovery_window, recovery_same_file, preventable_cost, failure_facts, json_escape_hatch,
     chat_log_nodes, chat_requests, chat_tool_nodes, intent_counts, document_intents, document_error_kinds,
-    decoded_bodies, shell_action, path_type, repo_path, url_host, classify_files, repo_families,
+    decoded_bodies, shell_action, tool_labels, path_type, repo_path, url_host, classify_files, repo_families,
     session_routing,
 ]
 

@@ -543,6 +543,43 @@ SQL = {
         (sec + CASE WHEN answered THEN 3 ELSE 1 END) * 1000000000, NULL, NULL,
         CASE WHEN turn % 5 = 0 THEN 'unknown' ELSE {pick('turn', ['Edit', 'Bash', 'Read'])} END,
         '{{"file_path":"/repo/' || key || '.ts"}}', NULL, NULL FROM replies""",
+    "tool_labels": """WITH
+      tools(i, name, field, verb, label) AS (VALUES (0, 'Read', 'file', 'read', NULL), (1, 'NotebookRead', 'nb', 'read', NULL),
+        (2, 'LS', 'ls', 'list', NULL), (3, 'Edit', 'file', 'edit', NULL), (4, 'MultiEdit', 'file', 'edit', NULL),
+        (5, 'Write', 'file', 'write', NULL), (6, 'NotebookEdit', 'nb', 'edit', NULL), (7, 'Glob', NULL, NULL, 'find files'),
+        (8, 'Grep', NULL, NULL, 'search files'), (9, 'WebFetch', NULL, NULL, 'fetch web page'), (10, 'WebSearch', NULL, NULL, 'search the web'),
+        (11, 'Task', NULL, NULL, 'delegate to subagent'), (12, 'Agent', NULL, NULL, 'delegate to subagent'),
+        (13, 'TodoWrite', NULL, NULL, 'update task list'), (14, 'ExitPlanMode', NULL, NULL, 'present plan for approval'),
+        (15, 'AskUserQuestion', NULL, NULL, 'ask the user'), (16, 'Skill', NULL, NULL, 'use skill'), (17, 'SlashCommand', NULL, NULL, 'run command'),
+        (18, 'ToolSearch', NULL, NULL, 'load tool schema'), (19, 'TaskCreate', NULL, NULL, 'create task'), (20, 'TaskUpdate', NULL, NULL, 'update task'),
+        (21, 'SendUserFile', NULL, NULL, 'send file to the user'), (22, 'BashOutput', NULL, NULL, 'read command output'),
+        (23, 'KillShell', NULL, NULL, 'kill background command'), (24, 'Bash', NULL, NULL, NULL),
+        (25, 'mcp', NULL, NULL, 'mcp__box__open it'), (26, 'Mystery', NULL, NULL, 'mystery')),
+      paths(j, path, object) AS (VALUES (0, '/repo/src/a.ts', 'source code'), (1, '/repo/src/a.test.ts', 'unit test'),
+        (2, '/repo/x.e2e.test.tsx', 'e2e test'), (3, '/repo/README.md', 'documentation'), (4, '/repo/package.json', 'manifest'),
+        (5, '/repo/pnpm-lock.yaml', 'lockfile'), (6, '/repo/.env.local', 'secret / env'), (7, '/repo/data.bin', 'unknown'),
+        (8, '/repo/.gitignore', 'VCS artifact'), (9, '/repo/tsconfig.json', 'build config')),
+      commands(c, command, did) AS (VALUES (0, 'git status', 'version control'), (1, 'pnpm test', 'run tests'), (2, 'cd /x && rg foo', 'search'),
+        (3, 'npm run lint', 'verify'), (4, 'make all', 'build'), (5, 'echo hi', 'run'), (6, 'yarn install', 'build'), (7, 'pnpm exec jest', 'run'),
+        (8, '  ', 'run'), (9, 'pytest -x', 'run tests')),
+      hosts(h, host) AS (VALUES (0, 'example.org'), (1, 'docs.example.net'), (2, 'odd'), (3, NULL)),
+      calls AS (SELECT o_orderkey, name, field, verb, label, object, command, did, host, n, n % 13 <> 0 AS good, n % 11 = 0 AS blank,
+          CASE WHEN n % 11 = 0 THEN '  ' WHEN n % 5 = 0 THEN '  ' || path ELSE path END AS raw
+        FROM (SELECT o_orderkey, o_orderkey // 27 AS n FROM orders) o JOIN tools ON i = o_orderkey % 27 JOIN paths ON j = n % 10
+        JOIN commands ON c = n % 10 JOIN hosts ON h = n % 4),
+      looked AS (SELECT *, CASE WHEN good THEN nullif(trim(CASE field WHEN 'file' THEN raw WHEN 'nb' THEN '/nb' || raw WHEN 'ls' THEN '/ls' || raw END), '') END AS raw_path,
+          CASE WHEN good AND n % 2 = 0 THEN 'read it' END AS prompt,
+          CASE WHEN good AND name = 'NotebookEdit' THEN CASE n % 3 WHEN 0 THEN 'add cell to' WHEN 1 THEN 'delete cell from' ELSE verb END ELSE verb END AS does
+        FROM calls),
+      headed AS (SELECT o_orderkey, 0 AS sequence_in_node, CASE WHEN verb IS NOT NULL THEN
+            CASE WHEN raw_path IS NULL THEN does WHEN blank THEN does || ' unknown' ELSE does || ' ' || object END
+          WHEN name = 'Bash' THEN CASE WHEN good THEN did ELSE 'run' END ELSE label END AS action,
+          raw_path, CASE WHEN good AND name = 'WebFetch' THEN host END AS url,
+          CASE WHEN name = 'WebFetch' THEN prompt WHEN good AND name = 'Bash' AND n % 3 <> 0 THEN 'why ' || CAST(n AS VARCHAR) END AS comment,
+          CASE WHEN good THEN command END AS bash_command FROM looked)
+      SELECT * FROM headed UNION ALL
+      SELECT o_orderkey, 1, 'process result with weak model', NULL, NULL, NULL, command
+      FROM looked WHERE name = 'WebFetch' AND prompt IS NOT NULL""",
     "chat_requests": f"""WITH {TALK} SELECT 'session-c' || CAST(h.conv_id AS VARCHAR) AS session_id, h.sec * 1000000000 AS end_time_ns, u.text AS asked
       FROM held h LEFT JOIN conversations u ON u.conv_id = h.conv_id AND u.turn = h.user_turn
       WHERE h.role = 'assistant' AND h.prompt_turn IS NOT NULL""",

@@ -403,6 +403,35 @@ def event_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return text.select("path", "block", F.inline(halves)).unionByName(begun)
 
 
+def tool_call_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``orders`` as calls of every listed tool and two others: ``(id, session_id, type, name, tool_input)``.
+
+    Paths, commands, addresses and modes vary; some are blank or padded, and some inputs are broken JSON.
+    """
+    tools = ["Read", "NotebookRead", "LS", "Edit", "MultiEdit", "Write", "NotebookEdit", "Glob", "Grep", "WebFetch",
+             "WebSearch", "Task", "Agent", "TodoWrite", "ExitPlanMode", "AskUserQuestion", "Skill", "SlashCommand",
+             "ToolSearch", "TaskCreate", "TaskUpdate", "SendUserFile", "BashOutput", "KillShell", "Bash",
+             "mcp__Box__Open  It", "Mystery"]
+    found = ["/repo/src/a.ts", "/repo/src/a.test.ts", "/repo/x.e2e.test.tsx", "/repo/README.md", "/repo/package.json",
+             "/repo/pnpm-lock.yaml", "/repo/.env.local", "/repo/data.bin", "/repo/.gitignore", "/repo/tsconfig.json"]
+    commands = ["git status", "pnpm test", "cd /x && rg foo", "npm run lint", "make all", "echo hi", "yarn install",
+                "pnpm exec jest", "  ", "pytest -x"]
+    k = F.col("o_orderkey")
+    at = F.expr("o_orderkey div 27")
+    path = F.when(at % 11 == 0, "  ").otherwise(F.concat(F.when(at % 5 == 0, "  ").otherwise(""), _pick(at, found)))
+    given = F.struct(
+        path.alias("file_path"), F.concat(F.lit("/nb"), path).alias("notebook_path"), F.concat(F.lit("/ls"), path).alias("path"),
+        _pick(at, commands).alias("command"), F.when(at % 3 != 0, F.concat(F.lit(" why "), at)).alias("description"),
+        _pick(at, ["https://www.example.org/a/b", "http://docs.example.net", "odd", " "]).alias("url"),
+        F.when(at % 2 == 0, "read it").when(at % 3 == 0, "\n").alias("prompt"),
+        _pick(at, ["insert", "delete", "replace"]).alias("edit_mode"),
+    )
+    return read(spark, sf_dir, "orders").select(
+        k.cast("string").alias("id"), F.lit("s").alias("session_id"), F.lit("tool").alias("type"), _pick(k, tools).alias("name"),
+        F.when(at % 13 == 0, '{"file_path":').otherwise(F.to_json(given)).alias("tool_input"),
+    )
+
+
 def path_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``lineitem`` as file paths: ``(l_orderkey, l_linenumber, path, cwd)``."""
     a, b = F.col("l_orderkey"), F.col("l_linenumber")

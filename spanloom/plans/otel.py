@@ -332,7 +332,13 @@ def enriched_spans(spans: DataFrame, logs: DataFrame) -> DataFrame:
 
     traced = typed.select(SESSION).distinct()
     hooks = settle(hook_runs(events, cold).join(traced, SESSION, "left_semi"))
-    hints = hook_parent_hints(hooks, typed, cold)
+    # Hooks of a session with a root hang below it; only others need to be placed by name and time.
+    is_root = F.coalesce(F.col("parent").isNull() & (F.col("span_type") != "hook"), F.lit(False))
+    rootless = typed.groupBy(SESSION).agg(F.bool_or(is_root).alias("rooted")).filter("not rooted").select(SESSION)
+    rootless = settle(rootless)
+    hints = hook_parent_hints(
+        hooks.join(rootless, SESSION, "left_semi"), typed.join(rootless, SESSION, "left_semi"), cold
+    )
     hook_spans = hooks.join(hints, [SESSION, "id"], "left").select(
         SESSION, "origin", "id", F.col("hint").alias("parent"), "start_ns", "end_ns",
         F.lit("hook").alias("span_type"), "hook_name",
