@@ -255,6 +255,13 @@ def llm_enrichment(spark, sf):
     )
 
 
+def hook_hints(spark, sf):
+    """The span each hook of a session without a root is put below."""
+    hooks, spans = ad.hook_rows(spark, sf)
+    found = otel.hook_parent_hints(settle(hooks), settle(spans), ad.is_cold(spark, sf))
+    return found.filter("hint is not null")
+
+
 def log_records(spark, sf):
     """Events of log arrays that are read in pieces, each with the event before it."""
     found = records.records(ad.event_pieces(spark, sf), otel_source.EVENT_LEVEL)
@@ -610,7 +617,7 @@ QUERIES: list[Query] = [
     session_rollup, interaction_metrics, interaction_rollup, shape_counts, load_summary,
     typed_views, interaction_windows, node_seq, narrowest_span, last_ended_before, positional_zip,
     hook_pairs, otel_spans, otel_rejects, span_violations, log_attribution, llm_enrichment,
-    log_records,
+    hook_hints, log_records,
     thread_assignment, threads, first_seen_delta, message_deltas, causal_edges, edge_gaps,
     prompt_edges, main_thread_longest, parallel_levels, hidden_subcalls, tools_with_causes,
     causal_reach, root_closure, subtree, ancestor_path, nearest_tool, containment,

@@ -358,6 +358,22 @@ SQL = {
         WHERE event_name = 'api_response_body' AND request_id IS NOT NULL)
       SELECT a.harness_session, b.request_id, arg_max(a.body, a.r) AS zipped_body FROM a JOIN b USING (harness_session, r)
       GROUP BY a.harness_session, b.request_id""",
+    "hook_hints": f"""WITH {EV},
+      hooks AS (SELECT *, {pick('k', ['PreToolUse:Edit', 'PostToolUse:Edit', 'PreToolUse:Bash', 'PostToolUse:Bash', 'Stop', 'Notification',
+          'PreToolUse:', 'Other:Edit', 'SessionStart', 'UserPromptSubmit'])} AS hook FROM ev WHERE event_type = 'click'),
+      spans AS (SELECT *, CASE WHEN event_type = 'error' THEN {pick('k', ['Edit', 'Bash'])} END AS tool FROM ev WHERE event_type <> 'click'),
+      pre AS (SELECT h.user_id, h.id, t.id AS hint, row_number() OVER (PARTITION BY h.id ORDER BY t.s, t.id) AS r
+        FROM hooks h JOIN spans t ON t.user_id = h.user_id AND h.hook = 'PreToolUse:' || t.tool AND t.s >= h.s),
+      post AS (SELECT h.user_id, h.id, t.id AS hint, row_number() OVER (PARTITION BY h.id ORDER BY t.e DESC, t.id) AS r
+        FROM hooks h JOIN spans t ON t.user_id = h.user_id AND h.hook = 'PostToolUse:' || t.tool AND t.e <= h.s),
+      turn AS (SELECT h.user_id, h.id, t.id AS hint, row_number() OVER (PARTITION BY h.id ORDER BY t.s, t.event_id) AS r
+        FROM hooks h JOIN spans t ON t.user_id = h.user_id AND t.event_type = 'signup'
+        WHERE h.hook IN ('Stop', 'UserPromptSubmit')),
+      loose AS (SELECT h.user_id, h.id, t.id AS hint, row_number() OVER (PARTITION BY h.id ORDER BY t.e <= h.s DESC,
+          CASE WHEN t.e <= h.s THEN t.e END DESC, CASE WHEN t.e > h.s THEN t.e - t.s END, t.s, t.event_id) AS r
+        FROM hooks h JOIN spans t ON t.user_id = h.user_id AND (t.e <= h.s OR t.s <= h.s) WHERE h.hook IN ('Notification', 'SessionStart', 'PreToolUse:'))
+      SELECT CAST(user_id AS VARCHAR) AS harness_session, id, hint FROM (FROM pre UNION ALL FROM post UNION ALL FROM turn UNION ALL FROM loose)
+      WHERE r = 1""",
     "log_records": """SELECT '/t/' || CAST(user_id AS VARCHAR) || '/logs.json' AS path, event_id, event_type AS event_name,
       '{"[\\' || CAST(CAST(json_extract_string(props, '$.k') AS BIGINT) AS VARCHAR) || '"} é ]"' AS body,
       lag(event_id) OVER (PARTITION BY user_id ORDER BY event_id) AS previous

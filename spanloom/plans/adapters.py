@@ -432,6 +432,21 @@ def tool_call_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def hook_rows(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """``events`` as hooks of all kinds, and as the spans they may belong to."""
+    names = ["PreToolUse:Edit", "PostToolUse:Edit", "PreToolUse:Bash", "PostToolUse:Bash", "Stop", "Notification",
+             "PreToolUse:", "Other:Edit", "SessionStart", "UserPromptSubmit"]
+    types = {"signup": "interaction", "view": "llm_request", "error": "tool", "purchase": "tool.execution"}
+    rows = event_rows(spark, sf_dir).select(
+        F.col("user_id").cast("string").alias("harness_session"), "id", "event_type", "k", F.col("event_id").alias("place"),
+        F.col("s").alias("start_ns"), F.col("e").alias("end_ns"),
+    )
+    hooks = rows.filter("event_type = 'click'").withColumn("hook_name", _pick(F.col("k"), names))
+    kind = F.coalesce(*[F.when(F.col("event_type") == e, t) for e, t in types.items()])
+    tool = F.when(F.col("event_type") == "error", _pick(F.col("k"), ["Edit", "Bash"]))
+    return hooks, rows.filter("event_type <> 'click'").select("*", kind.alias("span_type"), tool.alias("tool_name"))
+
+
 def path_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``lineitem`` as file paths: ``(l_orderkey, l_linenumber, path, cwd)``."""
     a, b = F.col("l_orderkey"), F.col("l_linenumber")
