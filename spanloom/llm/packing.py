@@ -15,6 +15,8 @@ from __future__ import annotations
 
 import bisect
 import functools
+import json
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -38,39 +40,122 @@ _PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigi
 # ---- Tokens ------------------------------------------------------------------------------------
 
 
+#: ASCII punctuation before and after a word's letters; an apostrophe before letters may belong to them.
+_AFTER = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+_BEFORE = _AFTER.replace(b"'", b"")
+#: Letters that normalization leaves single letters, as UTF-8: from U+00C0 to U+017F but U+0130, and ASCII ones in lower case.
+_LATIN = re.compile(rb"(?:[a-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf]|\xc4[\x80-\xaf\xb1-\xbf]|\xc5[\x80-\xbf])+")
+#: What a tokenizer does that drops case and keeps runs of letters and of punctuation apart.
+_NORMALIZERS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
+_RUNS = {
+    "type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"},
+    "behavior": "Removed", "invert": True,
+}
+_BYTES = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}
+
+
 class WordTokens:
     """Token ids of whole texts, with the ids of words remembered.
 
     The tokenizer drops white space and never looks over it, so the ids of a text are those of its
     words in a row. Words are parted at ASCII white space only; whatever else a tokenizer takes for
     white space stays inside a word and is left to it.
+
+    Where the tokenizer drops case and keeps letters and punctuation apart, the ids of letters between
+    punctuation are those of its three parts in a row. Many new words differ from a known one in case or
+    punctuation alone, so their letters are remembered too. All other words go to the tokenizer whole.
     """
 
     def __init__(self, path: str, kept: int = WORDS_KEPT):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer, self.kept = Tokenizer.from_file(path), kept
         self.known: dict[bytes, bytes] = {}
-
-    def _learn(self, words: list[bytes]) -> None:
-        for i in range(0, len(words), 4096):
-            part = [w.decode() for w in words[i : i + 4096]]
+        self.letters: dict[bytes, bytes] = {}
+        self.marks: dict[bytes, bytes] = {b"": b""}
+        made = json.loads(self.tokenizer.to_str())
+        kind, added = made["model"], [t["content"].encode() for t in made["added_tokens"]]
+        #: The letters of added tokens, which are tokens only with their punctuation.
+        self.added = {t.strip(_AFTER) for t in added}
+        self.parted = (
+            (made["normalizer"] or {}).get("normalizers") == _NORMALIZERS
+            and (made["pre_tokenizer"] or {}).get("pretokenizers") == [_RUNS, _BYTES]
+            and not (made["post_processor"] or made["truncation"] or made["padding"])
+            and (kind["type"], kind.get("dropout"), kind.get("end_of_word_suffix")) == ("BPE", None, "</w>")
+            and all(t[:1] in _BEFORE and t[-1:] in _AFTER for t in added)
+        )
+        if self.parted:
+            # For letters that are normalized and stand apart already.
+            self.plain = Tokenizer(self.tokenizer.model)
+            self.plain.pre_tokenizer = pre_tokenizers.Sequence(
+                [pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)]
+            )
+            self.last = np.zeros(self.tokenizer.get_vocab_size(), dtype=bool)
+            self.last[[i for token, i in kind["vocab"].items() if token.endswith("</w>")]] = True
+
+    def _learn_whole(self, words: list[bytes]) -> None:
+        for i in range(0, len(words), 512):
+            part = [w.decode() for w in words[i : i + 512]]
             coded = self.tokenizer.encode(" ".join(part), add_special_tokens=False)
             sizes = np.fromiter((len(w) + 1 for w in part), dtype=np.int64, count=len(part))
             begins = np.fromiter((o[0] for o in coded.offsets), dtype=np.int64, count=len(coded.ids))
             cuts = 4 * np.searchsorted(begins, np.cumsum(sizes) - sizes)
             ids = np.array(coded.ids, dtype="<u4").tobytes()
-            for word, a, b in zip(words[i : i + 4096], cuts, [*cuts[1:], len(ids)], strict=True):
+            for word, a, b in zip(words[i : i + 512], cuts, [*cuts[1:], len(ids)], strict=True):
                 self.known[word] = ids[a:b]
 
+    def _learn_letters(self, runs: list[bytes]) -> None:
+        for i in range(0, len(runs), 512):
+            part = runs[i : i + 512]
+            ids = np.array(self.plain.encode(b" ".join(part).decode().lower(), add_special_tokens=False).ids, dtype="<u4")
+            ends = (4 * np.flatnonzero(self.last[ids]) + 4).tolist()
+            ids = ids.tobytes()
+            for run, a, b in zip(part, [0, *ends[:-1]], ends, strict=True):
+                self.letters[run] = ids[a:b]
+
+    def _mark(self, run: bytes) -> bytes:
+        if run not in self.marks:
+            ids = self.tokenizer.encode(run.decode(), add_special_tokens=False).ids
+            if len(self.marks) > self.kept:
+                return np.array(ids, dtype="<u4").tobytes()
+            self.marks[run] = np.array(ids, dtype="<u4").tobytes()
+        return self.marks[run]
+
+    def _learn(self, words: list[bytes]) -> None:
+        if not self.parted:
+            self._learn_whole(words)
+            return
+        letters, latin, added = self.letters, _LATIN.fullmatch, self.added
+        whole, parted, new = [], [], set()
+        for word in words:
+            run = word.lower().lstrip(_BEFORE).rstrip(_AFTER)
+            if (run.isalpha() or latin(run)) and run not in added:
+                parted.append((word, run))
+                if run not in letters:
+                    new.add(run)
+            else:
+                whole.append(word)
+        if whole:
+            self._learn_whole(whole)
+        if new:
+            self._learn_letters(list(new))
+        for word, run in parted:
+            ids = letters[run]
+            if len(run) < len(word):
+                at = word.lower().index(run)
+                ids = self._mark(word[:at]) + ids + self._mark(word[at + len(run) :])
+            self.known[word] = ids
+
     def ids(self, text: str) -> bytes:
         """Little-endian unsigned 32-bit ids."""
         words, known = text.encode().split(), self.known
         try:
             return b"".join(map(known.__getitem__, words))
         except KeyError:
-            if len(known) > self.kept:
+            if len(known) + len(self.letters) > self.kept:
                 known.clear()
+                if len(self.letters) > self.kept // 2:
+                    self.letters.clear()
             self._learn(list({w for w in words if w not in known}))
             return b"".join(map(known.__getitem__, words))
 

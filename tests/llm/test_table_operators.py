@@ -151,6 +151,38 @@ def test_words_give_the_tokenizers_ids():
         assert np.frombuffer(tokens.ids(text), dtype="<u4").tolist() == want
 
 
+def test_letters_between_punctuation_give_the_tokenizers_ids():
+    tokens = packing.WordTokens(vocabulary(), kept=400)
+    rng = random.Random(7)
+    some = [*"abXY", "\u00e9", "\u00dc", "\u00df", "\u0130", "\u017f", "\u0149", "\u00d7", "\u00aa", "e\u0301", "K", "\u03a3", "7", "'s", "'LL", "<|endoftext|>", "endoftext"]
+    marks = [*"!'.#<|>(", "\u0338", "\u0307", "\u00bf"]
+    for _ in range(3000):
+        before, after = (rng.choices(marks, k=rng.randrange(4)) for _ in range(2))
+        word = "".join([*before, *rng.choices(some, k=rng.randrange(6)), *after])
+        want = tokens.tokenizer.encode(word, add_special_tokens=False).ids
+        assert np.frombuffer(tokens.ids(word), dtype="<u4").tolist() == want, word
+
+
+def test_letters_meet_the_tokenizer_once():
+    tokens, seen = packing.WordTokens(vocabulary()), []
+
+    class Watched:
+        def __init__(self, inner):
+            self.inner = inner
+
+        def encode(self, text, **options):
+            seen.extend(text.lower().split())
+            return self.inner.encode(text, **options)
+
+    for name in ("tokenizer", "plain"):
+        if hasattr(tokens, name):
+            setattr(tokens, name, Watched(getattr(tokens, name)))
+    for text in ("alpha \u00e9tude", "Alpha, (\u00e9TUDE) \"alpha'", "ALPHA! \u00e9tude... <|alpha|>"):
+        assert len(tokens.ids(text)) >= 8
+    assert [word.strip("!.,'\"()<|>") for word in seen if any(c.isalpha() for c in word)].count("alpha") == 1
+    assert sum("tude" in word for word in seen) == 1
+
+
 def test_packing(spark):
     rng = random.Random(2)
     texts = [" ".join(rng.choice(["one", "two", "three"]) for _ in range(rng.choice([0, 1, 5, 20, 30, 31, 90, 200]))) for _ in range(120)] + [None, "same words"] + ["hot"] * 60
