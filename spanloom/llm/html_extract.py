@@ -16,12 +16,13 @@ and the evidence is summed per node before it is shuffled.
 from __future__ import annotations
 
 import bisect
+import collections
 import functools
 import html as markup
-import itertools
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -61,8 +62,8 @@ PLACES = frozenset(
 )
 #: An element that only loose words name is content if it holds more than this share of the page's text.
 LOOSE_SHARE = 0.5
-#: Longer lists of blocks are aligned within this distance of both ends' diagonals.
-EXACT_PAIRS, BAND = 1_000, 8
+#: Lists of blocks with more pairs are aligned by rows; parts of these rows that are held at a time, in pairs.
+SHORT_PAIRS, PART_PAIRS = 1_000, 1 << 26
 #: Evidence for a constant node: different pages, and the share with the same text; more inside an article.
 PAGES, SHARE, ARTICLE_PAGES, ARTICLE_SHARE = 4, 0.8, 20, 0.95
 
@@ -212,43 +213,77 @@ def numbered(root: Node) -> list[Node]:
 def align(a: Node, b: Node) -> list[tuple[Node, Node]]:
     """Matched nodes of two trees of equal root labels, for the most matches in order.
 
-    Lists of blocks with up to ``EXACT_PAIRS`` pairs are aligned whole; in longer ones blocks meet that are
-    up to ``BAND`` places apart, counted from the front or from the end, so that work grows with the page.
+    How two nodes match depends on their shapes alone, which are their labels and the shapes of their blocks.
+    So each two shapes are worked off once, and equal ones match whole. All blocks of a list meet all of the other.
     """
-    blocks = {id(n): n.blocks() for root in (a, b) for n in numbered(root)}
-    made: dict[tuple[int, int], tuple] = {}
-    todo = [(a, b, False)]
+    numbers: dict[tuple, int] = {}
+    labels, sizes, below, inner = [], [], [], []  # by shape
+    shape: dict[int, int] = {}
+    blocks: dict[int, list[Node]] = {}
+    for root in (a, b):
+        for node in reversed(numbered(root)):
+            blocks[id(node)] = children = node.blocks()
+            key = node.label, tuple([shape[id(x)] for x in children])
+            shape[id(node)] = number = numbers.setdefault(key, len(numbers))
+            if number == len(labels):
+                labels.append(node.label)
+                sizes.append(1 + sum([sizes[k] for k in key[1]]))
+                below.append(key[1])
+                inner.append([k for k in dict.fromkeys(key[1]) if below[k]])
+    made: list[dict[int, int]] = [{} for _ in labels]  # weights of two shapes with blocks
+
+    def weigh(p: int, q: int) -> int:
+        if p == q:
+            return sizes[p]
+        return made[p].get(q, 1) if labels[p] == labels[q] else 0
+
+    todo = [(shape[id(a)], shape[id(b)], False)]
     while todo:
         x, y, ready = todo.pop()
-        left, right = blocks[id(x)], blocks[id(y)]
+        if x == y or y in made[x]:
+            continue
         if ready:
-            made[id(x), id(y)] = _in_order(x, y, left, right, made)
+            short = len(below[x]) * len(below[y]) <= SHORT_PAIRS
+            most = _most(below[x], below[y], weigh) if short else _Rows(below[x], below[y], labels, sizes, made).most()
+            made[x][y] = most + 1
             continue
         todo.append((x, y, True))
-        for i, p in enumerate(left):
-            if blocks[id(p)]:
-                near = (right[j] for j in _columns(i, len(left), len(right)))
-                todo += [(p, q, False) for q in near if p.label == q.label and blocks[id(q)]]
-    out, found = [], [made[id(a), id(b)]]
+        left, right = inner[x], inner[y]
+        if len(below[x]) * len(below[y]) > SHORT_PAIRS:
+            i0, i1, j0, j1 = _between(below[x], below[y], 0, len(below[x]), 0, len(below[y]))
+            left = [k for k in dict.fromkeys(below[x][i0:i1]) if below[k]]
+            right = [k for k in dict.fromkeys(below[y][j0:j1]) if below[k]]
+        todo += [(p, q, False) for p in left for q in right if p != q and labels[p] == labels[q] and q not in made[p]]
+    out, found, places = [], [(a, b)], {}
     while found:
-        _, x, y, matched = found.pop()
+        x, y = found.pop()
         out.append((x, y))
-        found += matched
+        p, q = shape[id(x)], shape[id(y)]
+        left, right = blocks[id(x)], blocks[id(y)]
+        if p == q:
+            found += zip(reversed(left), reversed(right), strict=True)
+        elif left and right:
+            if (p, q) not in places:
+                short = len(left) * len(right) <= SHORT_PAIRS
+                places[p, q] = _in_order(below[p], below[q], weigh) if short else _Rows(below[p], below[q], labels, sizes, made).matched()
+            found += [(left[i], right[j]) for i, j in reversed(places[p, q])]
     return out
 
 
-def _columns(i: int, n: int, m: int) -> Iterator[int]:
-    """The places in a list of ``m`` blocks that place ``i`` of ``n`` is compared with, in order."""
-    if n * m <= EXACT_PAIRS:
-        return iter(range(m))
-    front = range(max(0, i - BAND), min(m, i + BAND + 1))
-    end = range(max(0, i + m - n - BAND), min(m, i + m - n + BAND + 1))
-    first, second = sorted((front, end), key=lambda r: r.start)
-    return itertools.chain(first, range(max(second.start, first.stop), second.stop))
+def _most(left: tuple[int, ...], right: tuple[int, ...], weigh: Callable[[int, int], int]) -> int:
+    """The most weight in order."""
+    best = [0] * (len(right) + 1)
+    for p in left:
+        before = top = 0
+        for j, q in enumerate(right, 1):
+            above = best[j]
+            top = max(top, above, before + weigh(p, q))
+            before, best[j] = above, top
+    return best[-1]
 
 
-def _in_order(x: Node, y: Node, left: list[Node], right: list[Node], made: dict[tuple[int, int], tuple]) -> tuple:
-    """Matches below x and y, the two, and as much for each pair of their blocks; takes those pairs from ``made``.
+def _in_order(left: tuple[int, ...], right: tuple[int, ...], weigh: Callable[[int, int], int]) -> list[tuple[int, int]]:
+    """Places of the blocks that match, for the most weight in order.
 
     ``steps`` are the ends of the best chains so far: the k-th ends furthest left. A chain's weight rises with
     its end, so a block's best predecessor is found by bisection whatever the length of the lists.
@@ -257,14 +292,13 @@ def _in_order(x: Node, y: Node, left: list[Node], right: list[Node], made: dict[
     steps: list[tuple] = []  # (weight, chain) at these places; a chain is (match, chain before) or null
     for i, p in enumerate(left):
         found = []
-        for j in _columns(i, len(left), len(right)):
-            q = right[j]
-            if p.label != q.label:
+        for j, q in enumerate(right):
+            more = weigh(p, q)
+            if not more:
                 continue
-            match = made.pop((id(p), id(q)), None) or (1, p, q, ())
             at = bisect.bisect_left(ends, j)
             weight, chain = steps[at - 1] if at else (0, None)
-            found.append((j, weight + match[0], (match, chain)))
+            found.append((j, weight + more, ((i, j), chain)))
         for j, weight, chain in found:
             at = bisect.bisect_left(ends, j)
             same = at < len(ends) and ends[at] == j
@@ -274,12 +308,98 @@ def _in_order(x: Node, y: Node, left: list[Node], right: list[Node], made: dict[
             while stop < len(ends) and steps[stop][0] <= weight:
                 stop += 1
             ends[at:stop], steps[at:stop] = [j], [(weight, chain)]
-    weight, chain = steps[-1] if steps else (0, None)
+    chain = steps[-1][1] if steps else None
     matched = []
     while chain:
         matched.append(chain[0])
         chain = chain[1]
-    return weight + 1, x, y, matched
+    return matched[::-1]
+
+
+def _between(left: tuple[int, ...], right: tuple[int, ...], i0: int, i1: int, j0: int, j1: int) -> tuple[int, int, int, int]:
+    """Of parts of two lists, what lies between equal shapes at both ends."""
+    while i0 < i1 and j0 < j1 and left[i0] == right[j0]:
+        i0, j0 = i0 + 1, j0 + 1
+    while i0 < i1 and j0 < j1 and left[i1 - 1] == right[j1 - 1]:
+        i1, j1 = i1 - 1, j1 - 1
+    return i0, i1, j0, j1
+
+
+class _Rows:
+    """As ``_most`` and ``_in_order``, for long lists: a row of best weights per block of ``left``, worked off at once.
+
+    Equal shapes at both ends match. What lies between is halved until the directions of a part, two bits a
+    pair, stay below ``PART_PAIRS``, so that memory does not grow with the pairs.
+    """
+
+    def __init__(self, left: tuple[int, ...], right: tuple[int, ...], labels: list[str], sizes: list[int], made: list[dict[int, int]]):
+        self.left, self.right, self.labels, self.sizes, self.made = left, right, labels, sizes, made
+        self.places = {q: k for k, q in enumerate(dict.fromkeys(right))}
+        self.named: dict[str, list[int]] = {}
+        for q, k in self.places.items():
+            self.named.setdefault(labels[q], []).append(k)
+        self.column = np.array([self.places[q] for q in right], dtype=np.int64)
+        self.weights = functools.lru_cache(64)(self._weights)
+
+    def _weights(self, p: int) -> np.ndarray:
+        row = np.zeros(len(self.places), dtype=np.int64)
+        row[self.named.get(self.labels[p], [])] = 1
+        for q, weight in self.made[p].items():
+            if q in self.places:
+                row[self.places[q]] = weight
+        if p in self.places:
+            row[self.places[p]] = self.sizes[p]
+        return row[self.column]
+
+    def _rows(self, ps: Sequence[int], j0: int, j1: int, step: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Best weights up to each place, before and with each block."""
+        best = np.zeros(j1 - j0 + 1, dtype=np.int64)
+        for p in ps:
+            more = best.copy()
+            np.maximum(best[1:], best[:-1] + self.weights(p)[j0:j1][::step], out=more[1:])
+            np.maximum.accumulate(more, out=more)
+            yield best, more
+            best = more
+
+    def most(self) -> int:
+        i0, i1, j0, j1 = _between(self.left, self.right, 0, len(self.left), 0, len(self.right))
+        total = sum(self.sizes[p] for p in self.left[:i0] + self.left[i1:])
+        last = None
+        for _, last in self._rows(self.left[i0:i1], j0, j1, 1):
+            pass
+        return total if last is None else total + int(last[-1])
+
+    def matched(self) -> list[tuple[int, int]]:
+        out, todo = [], [(0, len(self.left), 0, len(self.right))]
+        while todo:
+            a0, a1, b0, b1 = todo.pop()
+            i0, i1, j0, j1 = _between(self.left, self.right, a0, a1, b0, b1)
+            out += zip(range(a0, i0), range(b0, j0), strict=True)
+            out += zip(range(i1, a1), range(j1, b1), strict=True)
+            if i0 == i1 or j0 == j1:
+                continue
+            if i1 - i0 > 1 and (i1 - i0) * (j1 - j0) > PART_PAIRS:
+                half = (i0 + i1) // 2
+                for _, upper in self._rows(self.left[i0:half], j0, j1, 1):
+                    pass
+                for _, lower in self._rows(self.left[half:i1][::-1], j0, j1, -1):
+                    pass
+                cut = j0 + int((upper + lower[::-1]).argmax())
+                todo += [(i0, half, j0, cut), (half, i1, cut, j1)]
+                continue
+            rows = self._rows(self.left[i0:i1], j0, j1, 1)
+            ways = [(np.packbits(more[1:] == more[:-1]), np.packbits(more[1:] == best[1:])) for best, more in rows]
+            i, j = i1 - i0 - 1, j1 - j0 - 1
+            while i >= 0 and j >= 0:
+                bit = 128 >> (j & 7)
+                if ways[i][0][j >> 3] & bit:
+                    j -= 1
+                elif ways[i][1][j >> 3] & bit:
+                    i -= 1
+                else:
+                    out.append((i0 + i, j0 + j))
+                    i, j = i - 1, j - 1
+        return sorted(out)
 
 
 # ---- Wrappers ----------------------------------------------------------------------------------------

@@ -351,6 +351,38 @@ def test_alignment_against_brute_force():
         assert all(p.label == q.label and (p is a or (id(above[id(p)]), id(above[id(q)])) in pairs) for p, q in got)
 
 
+@pytest.mark.parametrize(("short", "part"), [(0, 1 << 20), (0, 4), (3, 1)])
+def test_alignment_by_rows_against_brute_force(monkeypatch, short, part):
+    monkeypatch.setattr(html_extract, "SHORT_PAIRS", short)
+    monkeypatch.setattr(html_extract, "PART_PAIRS", part)
+    rng = random.Random(8)
+    for _ in range(200):
+        a, b = _tree(rng, 4), _tree(rng, 4)
+        got = html_extract.align(a, b)
+        order = {id(n): k for tree in (a, b) for k, n in enumerate(html_extract.numbered(tree))}
+        assert len(got) == _most(a, b)
+        places = sorted((order[id(p)], order[id(q)]) for p, q in got)
+        assert all(p < r and q < s for (p, q), (r, s) in zip(places, places[1:], strict=False))
+
+
+def test_template_far_off_the_diagonals_goes():
+    def page(first, then, seed):
+        rows = "".join(f"<p>Text {seed} {i}</p>" for i in range(first)) + "<div class=box><b>Our</b> site</div>"
+        return f"<body>{rows}" + "".join(f"<ul><li>Item {seed} {i}</li></ul>" for i in range(then)) + "</body>"
+
+    pages = [page(60, 60, 0), *(page(15 + 2 * k, 5 + 2 * k, k) for k in range(1, 9))]
+    pairs = html_extract.align(html_extract.parse(pages[0]), html_extract.parse(pages[1]))
+    assert len(pairs) == 2 + 17 + 1 + 2 * 7  # page and body, paragraphs, the box, lists and their items
+    stats = collections.defaultdict(lambda: [0, 0])
+    for other in pages:
+        for node, same in html_extract.evidence(other, pages[0]):
+            stats[node][0] += 1
+            stats[node][1] += same
+    known = tuple((node, *counts) for node, counts in sorted(stats.items()))
+    assert "Our site" not in html_extract.main_text(pages[1], pages[0], known)
+    assert "Text 1 16\nItem 1 0" in html_extract.main_text(pages[1], pages[0], known)
+
+
 @pytest.mark.parametrize("block", ["<p>Text {}</p>", "<div class=row><p>Text {}</p></div>"])
 def test_long_pages_are_aligned_in_time_that_grows_with_them(block):
     def long(n, seed):
