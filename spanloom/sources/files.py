@@ -47,14 +47,14 @@ def listing(spark: SparkSession, dirs: Sequence[str]) -> DataFrame:
     ).withColumn("input_type", input_type(F.col("name")))
 
 
-def read_documents(spark: SparkSession, dirs: Sequence[str], glob: str, up_to: int) -> DataFrame:
-    """JSON documents of a size as ``(path, name, dir, content)``, one per row."""
+def read_documents(spark: SparkSession, dirs: Sequence[str], glob: str, up_to: int | None = None) -> DataFrame:
+    """JSON documents, of up to a size if given, as ``(path, name, dir, content)``, one per row."""
     docs = (
         spark.read.option("recursiveFileLookup", "true")
         .option("wholetext", "true")
         .option("pathGlobFilter", glob)
         .text(list(dirs))
-        .filter(F.col("_metadata.file_size") <= up_to)
+        .filter(F.lit(True) if up_to is None else F.col("_metadata.file_size") <= up_to)
         .select(F.col("value").alias("content"), F.col("_metadata.file_path").alias("p"))
     )
     named = [c.alias(n) for n, c in file_columns(F.col("p")).items()]
